@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import chat_digest, chat_examples
 from .common import table
+from .decontamination import contamination, contamination_digest
+from .media import media_digest, sniff_media, texts_to_media
 from .packing import pack
+from .secret_scan import secret_scan
 from .token_counts import token_counts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -19,10 +22,18 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_digest(contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -30,10 +41,39 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(chat_examples(turns.unionByName(extra)))
 
 
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digest(sniff_media(texts_to_media(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
+    "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
+    "op7_secret_scan": op7_secret_scan,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_media_columns": op10_media_columns,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_decontamination": r"""
+        WITH words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        items AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        item_windows AS (
+            SELECT DISTINCT item_id, least(len(w), 10) AS n, unnest([w[k:k + 9] FOR k IN range(1, greatest(len(w) - 9, 1) + 1)]) AS win
+            FROM items WHERE len(w) > 0),
+        lengths AS (SELECT DISTINCT n FROM item_windows),
+        doc_windows AS (
+            SELECT doc_id, n, u.k AS k, w[u.k:u.k + n - 1] AS win
+            FROM words, lengths, unnest(range(1, len(w) - n + 2)) AS u(k) WHERE len(w) >= n),
+        found AS (SELECT d.doc_id, d.k, d.n, i.item_id FROM doc_windows d JOIN item_windows i ON d.n = i.n AND d.win = i.win),
+        hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM found) GROUP BY doc_id),
+        own AS (SELECT doc_id, list(DISTINCT CAST(item_id AS VARCHAR)) AS ids FROM found GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+            CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(list_sort(ids), ','), '')) AS items_sha256,
+            coalesce(n_hit, 0) > 0 AS contaminated
+        FROM words w LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)""",
+}
