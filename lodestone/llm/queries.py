@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .chat_format import chat_digest, chat_examples
 from .common import table
@@ -14,10 +15,17 @@ from .media import media_digest, sniff_media, texts_to_media
 from .packing import pack
 from .secret_scan import secret_scan
 from .token_counts import token_counts
+from .toxicity import held_out, learn, score
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -46,6 +54,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_token_counts": op3_token_counts,
     "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
