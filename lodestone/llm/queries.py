@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .chat_format import chat_digest, chat_examples
 from .common import table
 from .decontamination import contamination, contamination_digest
+from .line_dedup import dedup_lines, line_digest
 from .media import media_digest, sniff_media, texts_to_media
 from .packing import pack
 from .secret_scan import secret_scan
@@ -26,6 +27,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digest(dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -55,6 +60,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_line_dedup": op2_line_dedup,
     "op3_token_counts": op3_token_counts,
     "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
@@ -64,6 +70,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_line_dedup": r"""
+        WITH parts AS (
+            SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split(regexp_replace(coalesce(text, ''), '(\n|[.!?] )', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS u
+            FROM documents),
+        stretches AS (
+            SELECT doc_id, k, list_transform(u[k:k + 3], lambda x: trim(x, ' ' || chr(10) || chr(13) || chr(9))) AS s
+            FROM parts, unnest(range(1, len(u) - 2)) AS t(k) WHERE len(u) >= 4),
+        later AS (
+            SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY s ORDER BY doc_id, k) AS r FROM stretches) WHERE r > 1),
+        marked AS (SELECT DISTINCT doc_id, unnest(range(k, k + 4)) AS p FROM later),
+        runs AS (
+            SELECT doc_id, min(p) AS a, max(p) AS b
+            FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM marked) GROUP BY doc_id, g),
+        long_runs AS (
+            SELECT r.doc_id, a, b FROM runs r JOIN parts USING (doc_id)
+            WHERE len(list_filter(regexp_split_to_array(array_to_string(u[a:b], ''), '\s+'), lambda w: w <> '')) >= 40),
+        cut AS (SELECT doc_id, list(DISTINCT p) AS ps, count(DISTINCT a) AS n_runs FROM (SELECT doc_id, a, unnest(range(a, b + 1)) AS p FROM long_runs) GROUP BY doc_id),
+        kept AS (
+            SELECT p.doc_id, len(u) AS n_lines, coalesce(len(ps), 0) AS n_removed, coalesce(n_runs, 0) AS n_runs,
+                CASE WHEN ps IS NULL THEN text
+                    ELSE array_to_string(list_filter(u, lambda x, i: NOT list_contains(ps, i)), '') END AS t
+            FROM parts p LEFT JOIN cut USING (doc_id))
+        SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_runs AS BIGINT) AS n_runs,
+            CAST(length(t) AS BIGINT) AS kept_chars, sha256(t) AS kept_sha256
+        FROM kept""",
     "op5_decontamination": r"""
         WITH words AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
