@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .chat_format import chat_digest, chat_examples
 from .common import table
 from .decontamination import contamination, contamination_digest
+from .jaccard_join import jaccard_components, jaccard_digest
 from .line_dedup import dedup_lines, line_digest
 from .media import media_digest, sniff_media, texts_to_media
 from .packing import pack
@@ -47,6 +48,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_digest(jaccard_components(table(spark, sf_dir, "documents")))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
     "op7_secret_scan": op7_secret_scan,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_media_columns": op10_media_columns,
 }
