@@ -16,6 +16,7 @@ from .line_dedup import dedup_lines, line_digest
 from .media import media_digest, sniff_media, texts_to_media
 from .packing import pack
 from .secret_scan import secret_scan
+from .suffix_dedup import suffix_dedup, suffix_digest
 from .token_counts import token_counts
 from .toxicity import held_out, learn, score
 
@@ -36,6 +37,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_digest(suffix_dedup(table(spark, sf_dir, "documents")))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
     "op3_token_counts": op3_token_counts,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
     "op7_secret_scan": op7_secret_scan,
