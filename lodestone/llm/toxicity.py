@@ -183,10 +183,12 @@ class BoostedTrees:
 
 
 def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the non-decreasing fit of y on margin, by pooling adjacent violators."""
+    """Knots of the non-decreasing fit of y on margin: equal margins are one, then adjacent violators are pooled."""
+    at, back = np.unique(margin, return_inverse=True)
+    count, ones = np.bincount(back), np.bincount(back, y)
     blocks: list[list[float]] = []  # sum of y, count, sum of margin
-    for k in np.argsort(margin, kind="stable"):
-        blocks.append([float(y[k]), 1.0, float(margin[k])])
+    for m, n, k in zip(at.tolist(), count.tolist(), ones.tolist(), strict=True):
+        blocks.append([k, n, n * m])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
