@@ -128,4 +128,34 @@ SQL: dict[str, str] = {
             CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(list_sort(ids), ','), '')) AS items_sha256,
             coalesce(n_hit, 0) > 0 AS contaminated
         FROM words w LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)""",
+    "op8_jaccard_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        shingles AS (
+            SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct([array_to_string(w[k:k + 3], ' ') FOR k IN range(1, len(w) - 2)]) END) AS g FROM words),
+        sizes AS (SELECT doc_id, count(g) AS n FROM words LEFT JOIN shingles USING (doc_id) GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT a AS doc_id, b AS other FROM both_ways UNION SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other)
+        SELECT s.doc_id, n AS n_shingles, least(s.doc_id, coalesce(min(other), s.doc_id)) AS component_id
+        FROM sizes s LEFT JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, n""",
+    "op9_chat_formatting": r"""
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+            UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+        turns AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+                length('<|im_start|>' || replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\' || chr(10)) || chr(10)
+                    || replace(replace(text, '\', '\\'), '<|', '<\|') || '<|im_end|>' || chr(10)) AS chars
+            FROM rows),
+        placed AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY k) AS upto, role = 'assistant' OR k = n AS is_end FROM turns)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(upto) FILTER (is_end) AS BIGINT) AS formatted_chars, count(*) FILTER (is_end) AS n_examples
+        FROM placed GROUP BY conv_id""",
 }
