@@ -29,41 +29,59 @@ from .common import ROW_ID, ROW_KEY, cut, text_or_empty
 GRAM_LINES, WINDOW_GRAMS, LEAST_WORDS = 2, 3, 40
 #: Where a text is cut; the sign before the place stays with its line.
 CUTS = r"(?<=\n)|(?<=[.!?] )"
+ENDS = ("\n", ". ", "! ", "? ")
+MARK = "\x01"
 SPACE = " \n\r\t"
 
 
 def lines_of(text: Column) -> Column:
-    return F.filter(F.split(text, CUTS, -1), lambda x: x != "")
+    """Lines, by marks after their ends; a text that has the mark itself is cut by pattern."""
+    marked = text
+    for end in ENDS:
+        marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
+    parts = F.when(F.contains(text, F.lit(MARK)), F.split(text, CUTS, -1)).otherwise(F.split(marked, MARK, -1))
+    return F.filter(parts, lambda x: x != "")
 
 
 def hashes_of(text: Column) -> Column:
     return F.transform(lines_of(text), lambda x: F.xxhash64(F.btrim(x, F.lit(SPACE))))
 
 
-def fingerprints(docs: DataFrame, gram_lines: int, window_grams: int) -> DataFrame:
-    """Selected fingerprints: key of the document, gram, its place, and each stretch that selected it (pos, hash)."""
-    reach = gram_lines + window_grams - 1
-    grams = F.transform(
+def grams_of(gram_lines: int) -> Column:
+    """(gram, back) for each place; of equal grams the last has the least back."""
+    return F.transform(
         F.sequence(F.lit(1), F.size("h") - gram_lines + 1),
         lambda k: F.struct(F.xxhash64(F.slice("h", k, gram_lines)).alias("gram"), (-k).alias("back")),
     )
+
+
+def fingerprints(docs: DataFrame, gram_lines: int, window_grams: int) -> DataFrame:
+    """Selected fingerprints: key of the document, gram, and each stretch that selected it (pos, hash)."""
+    reach = gram_lines + window_grams - 1
     stretches = F.transform(
         F.sequence(F.lit(1), F.size("h") - reach + 1),
-        lambda k: F.struct(F.array_min(F.slice("grams", k, window_grams)).alias("pick"), k.alias("pos"), F.xxhash64(F.slice("h", k, reach)).alias("hash")),
+        lambda k: F.struct(F.array_min(F.slice("grams", k, window_grams))["gram"].alias("gram"), k.alias("pos"), F.xxhash64(F.slice("h", k, reach)).alias("hash")),
     )
     rows = docs.select(ROW_ID, ROW_KEY, hashes_of(F.col("text")).alias("h")).where(F.size("h") >= reach)
-    each = rows.withColumn("grams", grams).select(ROW_ID, ROW_KEY, F.inline(stretches))
-    return each.select(ROW_ID, ROW_KEY, F.col("pick.gram").alias("gram"), F.col("pick.back").alias("at"), "pos", "hash")
+    return rows.withColumn("grams", grams_of(gram_lines)).select(ROW_ID, ROW_KEY, F.inline(stretches))
+
+
+def selected_grams(docs: DataFrame, gram_lines: int, window_grams: int) -> DataFrame:
+    """gram and a hash of its place, for each window that selects it."""
+    reach = gram_lines + window_grams - 1
+    picks = F.transform(F.sequence(F.lit(1), F.size("h") - reach + 1), lambda k: F.array_min(F.slice("grams", k, window_grams)))
+    rows = docs.select(ROW_ID, ROW_KEY, hashes_of(F.col("text")).alias("h")).where(F.size("h") >= reach)
+    each = rows.withColumn("grams", grams_of(gram_lines)).select(ROW_ID, ROW_KEY, F.inline(picks))
+    return each.select("gram", F.xxhash64(ROW_ID, ROW_KEY, "back").alias("place"))
 
 
 def repeats(docs: DataFrame, gram_lines: int, window_grams: int) -> DataFrame:
     """Key of the document and pos of every stretch of which an equal one stands earlier."""
-    prints = fingerprints(docs, gram_lines, window_grams)
     place = F.struct(ROW_ID, ROW_KEY, "pos")
     # a gram that one place alone selects has no match
-    selected = F.struct(ROW_ID, ROW_KEY, "at")
-    shared = cut(prints.groupBy("gram").agg(F.min(selected).alias("low"), F.max(selected).alias("high")).where("low <> high").select("gram"))
-    near = cut(prints.join(shared, "gram", "left_semi").select(ROW_ID, ROW_KEY, "pos", "hash"))
+    selected = selected_grams(docs, gram_lines, window_grams)
+    shared = cut(selected.groupBy("gram").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low <> high").select("gram"))
+    near = cut(fingerprints(docs, gram_lines, window_grams).join(shared, "gram", "left_semi").select(ROW_ID, ROW_KEY, "pos", "hash"))
     first = cut(near.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("hash", "first"))
     return near.join(first, "hash").where(place != F.col("first")).select(ROW_ID, ROW_KEY, "pos")
 
@@ -91,15 +109,15 @@ def dedup_lines(docs: DataFrame, *, gram_lines: int = GRAM_LINES, window_grams:
     reach = gram_lines + window_grams - 1
     whole = docs.withColumn("text", text_or_empty()).withColumns({ROW_ID: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), ROW_KEY: F.xxhash64("text")})
     found = repeats(whole.select(ROW_ID, ROW_KEY, "text"), gram_lines, window_grams)
-    by_doc = found.groupBy(ROW_ID, ROW_KEY).agg(F.array_sort(F.collect_set("pos")).alias("starts"))
-    joined = whole.join(by_doc, [ROW_ID, ROW_KEY], "left").withColumn("_lines", lines_of(F.col("text")))
-    spans = F.when(F.col("starts").isNotNull(), runs_of(F.col("starts"), reach)).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    by_doc = found.groupBy(ROW_ID, ROW_KEY).agg(F.array_sort(F.collect_set("pos")).alias("_line_dedup_starts"))
+    joined = whole.join(by_doc, [ROW_ID, ROW_KEY], "left").withColumn("_line_dedup_lines", lines_of(F.col("text")))
+    spans = F.when(F.col("_line_dedup_starts").isNotNull(), runs_of(F.col("_line_dedup_starts"), reach)).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
     def passage(r: Column) -> Column:
-        return F.array_join(F.slice("_lines", r["start"] + 1, r["end"] - r["start"]), "")
+        return F.array_join(F.slice("_line_dedup_lines", r["start"] + 1, r["end"] - r["start"]), "")
 
-    kept = F.array_join(F.filter("_lines", lambda x, i: ~F.exists("runs", lambda r: (r["start"] <= i) & (i < r["end"]))), "")
-    out = joined.withColumn("runs", F.filter(spans, lambda r: word_count(passage(r)) >= least_words)).withColumn("n_lines", F.size("_lines").cast("long"))
+    kept = F.array_join(F.filter("_line_dedup_lines", lambda x, i: ~F.exists("runs", lambda r: (r["start"] <= i) & (i < r["end"]))), "")
+    out = joined.withColumn("runs", F.filter(spans, lambda r: word_count(passage(r)) >= least_words)).withColumn("n_lines", F.size("_line_dedup_lines").cast("long"))
     return out.withColumn("text", F.when(F.size("runs") > 0, kept).otherwise(F.col("text"))).select(*docs.columns, "n_lines", "runs")
 
 
