@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROW_ID, ROW_KEY = "_row_id", "_row_key"
+#: Whole texts in a batch to Python.
+TEXT_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +46,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def arrow_rows(spark: SparkSession, n: int) -> None:
+    """Rows in a batch to Python from here on: few for whole texts, many for rows of numbers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+
+
 def worker_state() -> types.ModuleType:
     """A namespace that lives as long as the Python worker, across tasks."""
     name = "_lodestone_worker_state"
