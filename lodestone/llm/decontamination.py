@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import TEXT_ROWS, arrow_rows, text_or_empty
 
 WINDOW_WORDS = 10
 BLOCK_WINDOWS = 200_000
@@ -103,8 +103,17 @@ class WindowSet:
         return np.cumsum(edge[:-1]) > 0, items
 
 
-def scan(docs: DataFrame, windows: list[tuple[list[str], list[str]]]) -> DataFrame:
-    """docs with n_words, runs (start, end of hit words) and items added."""
+def cut_out(text: str, runs: list[dict]) -> str:
+    """The text without the words of these runs and what stands between them."""
+    if runs:
+        places = [m.span() for m in WORDS.finditer(ascii_lower(text))]
+        for r in sorted(runs, key=lambda r: r["start"], reverse=True):
+            text = text[: places[r["start"]][0]] + text[places[r["end"] - 1][1] :]
+    return text
+
+
+def scan(docs: DataFrame, windows: list[tuple[list[str], list[str]]], *, cut_spans: bool = False) -> DataFrame:
+    """docs with n_words, runs (start, end of hit words) and items added; with cut_spans the runs leave the text."""
     shared = docs.sparkSession.sparkContext.broadcast(WindowSet(windows))
     at_text = docs.columns.index("text")
 
@@ -113,14 +122,17 @@ def scan(docs: DataFrame, windows: list[tuple[list[str], list[str]]]) -> DataFra
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE_ROWS):
                 batch = whole.slice(at, SLICE_ROWS)
-                sizes, runs, items = [], [], []
-                for text in batch.column(at_text).to_pylist():
+                sizes, runs, items, texts = [], [], [], batch.column(at_text).to_pylist()
+                for text in texts:
                     words = words_of(text or "")
                     hit, found = shared.value.hits(words)
                     ends = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
                     sizes.append(len(words))
                     runs.append([{"start": s, "end": e} for s, e in zip(ends[::2].tolist(), ends[1::2].tolist(), strict=True)])
                     items.append(sorted(found))
+                if cut_spans and any(runs):
+                    left = pa.array([cut_out(t, r) if r else t for t, r in zip(texts, runs, strict=True)], batch.schema.field(at_text).type)
+                    batch = batch.set_column(at_text, batch.schema.field(at_text), left)
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(sizes, pa.int64()), pa.array(runs, pa.list_(pair)), pa.array(items, pa.list_(pa.string()))],
                     names=[*batch.schema.names, "n_words", "runs", "items"],
@@ -130,16 +142,17 @@ def scan(docs: DataFrame, windows: list[tuple[list[str], list[str]]]) -> DataFra
     return docs.mapInArrow(run, f"{have}, n_words long, runs array<struct<start:int,end:int>>, items array<string>")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, window_words: int = WINDOW_WORDS, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """docs with n_words, runs and items: what the benchmark has of each document.
+def contamination(docs: DataFrame, benchmark: DataFrame, *, window_words: int = WINDOW_WORDS, block_windows: int = BLOCK_WINDOWS, cut_spans: bool = False) -> DataFrame:
+    """docs with n_words, runs and items: what the benchmark has of each document; with cut_spans it leaves the texts.
 
     The columns n_words, runs and items of docs itself, if there are any, are replaced.
     """
     docs = docs.drop("n_words", "runs", "items")
+    arrow_rows(docs.sparkSession, TEXT_ROWS)
     windows = benchmark_windows(benchmark, window_words).groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("owners"))
     n = windows.count()
     if n <= block_windows:
-        return scan(docs, [(r.words, r.owners) for r in windows.toLocalIterator()])
+        return scan(docs, [(r.words, r.owners) for r in windows.toLocalIterator()], cut_spans=cut_spans)
     # blocks by hash, of three quarters of the bound on average; each is matched against all documents
     blocks = -(-4 * n // (3 * block_windows))
     numbered = windows.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks)))
@@ -148,7 +161,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window_words: int =
         part = [(r.words, r.owners) for r in numbered.where(F.col("block") == b).toLocalIterator()]
         before = out.withColumnsRenamed({"n_words": "_n", "runs": "_runs", "items": "_items"})
         out = scan(before, part).withColumn("runs", F.concat("_runs", "runs")).withColumn("items", F.array_union("_items", "items")).drop("_n", "_runs", "_items")
-    return out
+    return without_spans(out) if cut_spans else out
 
 
 def merged_runs(runs: str = "runs") -> Column:
@@ -184,13 +197,7 @@ def without_spans(found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                if runs:
-                    places = [m.span() for m in WORDS.finditer(ascii_lower(text))]
-                    for r in sorted(runs, key=lambda r: r["start"], reverse=True):
-                        text = text[: places[r["start"]][0]] + text[places[r["end"] - 1][1] :]
-                texts.append(text)
+            texts = [cut_out(t, r) for t, r in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True)]
             k = batch.schema.get_field_index("text")
             yield batch.set_column(k, "text", pa.array(texts, pa.string()))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import TEXT_ROWS, arrow_rows, text_or_empty
 from .token_counts import CHUNK_CHARS, MAX_TOKENS, SLICE_ROWS, spliced
 from .wordbpe import word_bpe
 
@@ -80,6 +80,7 @@ def pieces(docs: DataFrame, vocabulary: str, max_tokens: int) -> DataFrame:
                     [pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
                 )
 
+    arrow_rows(docs.sparkSession, TEXT_ROWS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInArrow(run, PIECE)
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_ID, ROW_KEY, keyed
+from .common import ROW_ID, ROW_KEY, arrow_rows, keyed
 from .shingles import STEP, mixed, powers
 from .suffix_array import suffix_array
 
@@ -294,6 +294,7 @@ def repeated_spans(around: DataFrame, length: int) -> DataFrame:
 def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, many_anchors: int = MANY_ANCHORS) -> DataFrame:
     """_row_id, _row_key, text and spans (start, end of merged repeated runs, in bytes) of every row of docs."""
     rows = keyed(docs)
+    arrow_rows(docs.sparkSession, 10_000)
     anchors = shared_keys(anchor_keys(rows, length), many_anchors)
     spans = repeated_spans(surroundings(rows, anchors, length), length)
     by_doc = spans.groupBy(*PLACE).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))

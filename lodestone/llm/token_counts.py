@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import TEXT_ROWS, arrow_rows, text_or_empty
 from .wordbpe import WordBpe, word_bpe
 
 CHUNK_CHARS, OVERLAP_CHARS = 1 << 16, 256
@@ -91,5 +91,6 @@ def token_counts(
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
+    arrow_rows(docs.sparkSession, TEXT_ROWS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

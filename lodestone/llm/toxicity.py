@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import TEXT_ROWS, arrow_rows, text_or_empty
 
 SAMPLE_ROWS = 40_000
 LEXICON_WORDS = 5_000
 LEXICON_LEAST_DOCS, LEXICON_LEAST_ODDS = 4, 1.5
 FOLDS = 5
 SLICE_ROWS = 512
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 NEAR_WORDS = 5
 
 # Second-person words of English, German, French and Spanish.
@@ -258,6 +258,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample_ro
 def score(docs: DataFrame, model: Model, *, threshold: float = 0.5) -> DataFrame:
     """docs with score and predicted added; columns of docs with these names are replaced."""
     docs = docs.drop("score", "predicted")
+    arrow_rows(docs.sparkSession, TEXT_ROWS)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at_text = docs.columns.index("text")
 
