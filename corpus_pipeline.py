@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import table
 from lodestone.llm.decontamination import contamination, merged_runs
 from lodestone.llm.jaccard_join import one_of_each
-from lodestone.llm.line_dedup import dedup_lines
+from lodestone.llm.line_dedup import dedup_passages
 from lodestone.llm.packing import pack
 from lodestone.llm.toxicity import learn, score
 
@@ -42,8 +42,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines are cut out of the texts."""
-    return measured(dedup_lines(docs), docs.columns)
+    """Later repeats of passages of 40 words or more are cut out of the texts, be they one line or many."""
+    return measured(dedup_passages(docs), docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,10 +7,19 @@ the least (of equal ones the last) is selected, so two places that agree in
 gram_lines + window_grams - 1 lines, the guarantee, select the same one there.
 
 Positions are joined by fingerprint: those whose fingerprint stands only once are
-dropped. Around the others the match is extended both ways, to every stretch of guarantee
-lines that selected the fingerprint; a stretch is a repeat if an equal one stands
-earlier, in order of document and position. Repeats that touch or overlap form runs, and
-runs of at least least_words words are deleted; the first occurrence stays.
+dropped. dedup_lines compares, at the others, every stretch of guarantee lines that
+selected the fingerprint; a stretch is a repeat if an equal one stands earlier, in order
+of document and position. Repeats that touch or overlap form runs, and runs of at least
+least_words words are deleted; the first occurrence stays. So equal passages of fewer
+lines than the guarantee stay, however long they are: that is what the SQL of op2 says.
+
+dedup_passages has no least number of lines: a match is any stretch of equal lines with
+least_words words or more in all, be it one line. Lines without words are left out before
+lines are compared, and go where they lie inside a run. From each line on, the shortest
+stretch with enough words is taken, and the least line hash in it is the fingerprint that
+it selects; stretches that share one are compared. A match begins with such a stretch in
+both places. Its further lines are found by the shortest stretches that end with each line,
+so a line goes if and only if some match with an earlier place holds it.
 
 Edge cases: a null or empty text has no lines and stays empty; documents are ordered by
 doc_id (null first) and text hash; rows equal in doc_id and text are one document, not
@@ -121,6 +130,78 @@ def dedup_lines(docs: DataFrame, *, gram_lines: int = GRAM_LINES, window_grams:
     return out.withColumn("text", F.when(F.size("runs") > 0, kept).otherwise(F.col("text"))).select(*docs.columns, "n_lines", "runs")
 
 
+def shortest_stretches(docs: DataFrame, least_words: int) -> DataFrame:
+    """docs (h, w: hash and words of each line) with grams, and the first (pos, end) from each line on and the last up to each line that have enough words."""
+    grams = F.transform("h", lambda x, k: F.struct(x.alias("gram"), (-k).alias("back")))
+    before = F.aggregate("w", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    of_word = F.flatten(F.transform("w", lambda x, k: F.array_repeat(k + 1, x)))
+    rows = docs.withColumns({"grams": grams, "before": before, "of_word": of_word}).where(F.size("of_word") >= least_words)
+    lines, at = F.sequence(F.lit(1), F.size("h")), lambda k: F.element_at("before", k)
+    first = F.transform(F.filter(lines, lambda k: at(k) + least_words <= F.size("of_word")), lambda k: F.struct(k.alias("pos"), F.element_at("of_word", at(k) + least_words).alias("end")))
+    last = F.transform(F.filter(lines, lambda k: at(k + 1) >= least_words), lambda k: F.struct(F.element_at("of_word", at(k + 1) - least_words + 1).alias("pos"), k.alias("end")))
+    # those of last that are shortest from their first line on are in first
+    return rows.withColumns({"first": first, "last": F.filter(last, lambda s: at(s["end"]) - at(s["pos"]) >= least_words)})
+
+
+def lines_from(name: str, s: Column) -> Column:
+    return F.slice(name, s["pos"], s["end"] - s["pos"] + 1)
+
+
+def later_ones(stretches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of stretches (key of the document, pos, end, hash) those with an equal one, and of these all but the first."""
+    place = F.struct(ROW_ID, ROW_KEY, "pos")
+    first = cut(stretches.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("hash", "first"))
+    equal = stretches.join(first, "hash")
+    return equal, equal.where(place != F.col("first")).select(ROW_ID, ROW_KEY, "pos", "end")
+
+
+def passages(docs: DataFrame, least_words: int) -> DataFrame:
+    """Key of the document, pos and end (from 1, of the lines with words) of stretches that together are all repeats."""
+    lines = F.filter(F.transform(lines_of(F.col("text")), lambda x: F.btrim(x, F.lit(SPACE))), lambda x: F.regexp_like(x, F.lit(r"\S")))
+    rows = docs.select(ROW_ID, ROW_KEY, lines.alias("lines"))
+    hashed = cut(rows.select(ROW_ID, ROW_KEY, F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), F.transform("lines", lambda x: F.regexp_count(x, F.lit(r"\S+"))).alias("w")))
+    found = shortest_stretches(hashed, least_words)
+    picks = found.select(ROW_ID, ROW_KEY, F.inline(F.transform("first", lambda s: F.array_min(lines_from("grams", s)))))
+    selected = picks.select("gram", F.xxhash64(ROW_ID, ROW_KEY, "back").alias("place"))
+    shared = cut(selected.groupBy("gram").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low <> high").select("gram"))
+    hash_of = lambda s: F.xxhash64(lines_from("h", s)).alias("hash")
+    each = found.select(ROW_ID, ROW_KEY, F.inline(F.transform("first", lambda s: F.struct(F.array_min(lines_from("grams", s))["gram"].alias("gram"), s["pos"].alias("pos"), s["end"].alias("end"), hash_of(s)))))
+    equal, begun = later_ones(cut(each.join(shared, "gram", "left_semi").drop("gram")))
+    # only documents that hold the beginning of a match can hold the rest of one
+    matched = hashed.join(equal.select(ROW_ID, ROW_KEY), [ROW_ID, ROW_KEY], "left_semi")
+    rest = shortest_stretches(matched, least_words).select(ROW_ID, ROW_KEY, F.inline(F.transform("last", lambda s: F.struct(s["pos"].alias("pos"), s["end"].alias("end"), hash_of(s)))))
+    return begun.unionByName(later_ones(cut(rest))[1])
+
+
+def united(stretches: Column) -> Column:
+    """(start, end) of sorted stretches (pos, end) united; ends exclusive, both from 0."""
+
+    def add(acc: Column, s: Column) -> Column:
+        last = F.element_at(acc, -1)
+        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
+        fresh = F.concat(acc, F.array(F.struct((s["pos"] - 1).alias("start"), s["end"].alias("end"))))
+        return F.when((F.size(acc) > 0) & (s["pos"] - 1 <= F.try_element_at(acc, F.lit(-1))["end"]), joined).otherwise(fresh)
+
+    return F.aggregate(stretches, F.array().cast("array<struct<start:int,end:int>>"), add)
+
+
+def dedup_passages(docs: DataFrame, *, least_words: int = LEAST_WORDS) -> DataFrame:
+    """docs with all repeats of least_words words or more cut out of text, and with n_lines and runs (start, end in lines) added."""
+    docs = docs.drop("n_lines", "runs", ROW_ID, ROW_KEY)
+    whole = docs.withColumn("text", text_or_empty()).withColumns({ROW_ID: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), ROW_KEY: F.xxhash64("text")})
+    found = passages(whole.select(ROW_ID, ROW_KEY, "text"), least_words)
+    by_doc = found.groupBy(ROW_ID, ROW_KEY).agg(F.array_sort(F.collect_set(F.struct("pos", "end"))).alias("_line_dedup_found"))
+    joined = whole.join(by_doc, [ROW_ID, ROW_KEY], "left").withColumn("_line_dedup_lines", lines_of(F.col("text")))
+    # places among the lines with words become places among all lines
+    worded = F.filter(F.transform("_line_dedup_lines", lambda x, i: F.when(F.regexp_like(x, F.lit(r"\S")), i)), lambda i: i.isNotNull())
+    joined = joined.withColumn("_line_dedup_at", F.when(F.col("_line_dedup_found").isNotNull(), worded))
+    at = lambda k: F.element_at("_line_dedup_at", k)
+    placed = F.transform(united(F.col("_line_dedup_found")), lambda r: F.struct(at(r["start"] + 1).alias("start"), (at(r["end"]) + 1).alias("end")))
+    out = joined.withColumn("runs", F.coalesce(placed, F.array().cast("array<struct<start:int,end:int>>"))).withColumn("n_lines", F.size("_line_dedup_lines").cast("long"))
+    kept = F.array_join(F.filter("_line_dedup_lines", lambda x, i: ~F.exists("runs", lambda r: (r["start"] <= i) & (i < r["end"]))), "")
+    return out.withColumn("text", F.when(F.size("runs") > 0, kept).otherwise(F.col("text"))).select(*docs.columns, "n_lines", "runs")
+
+
 def line_digest(deduped: DataFrame) -> DataFrame:
     removed = F.aggregate("runs", F.lit(0), lambda n, r: n + r["end"] - r["start"]).cast("long")
     return deduped.select(
