@@ -27,6 +27,8 @@ from lodestone.llm.toxicity import learn, score
 
 #: A document of which this share of words comes from the benchmark goes as a whole.
 LEAK_SHARE = 0.5
+#: Near copies share this percentage of their shingles of so many words; op8 has values of its own.
+COPY_NGRAM, COPY_PERCENT = 5, 80
 
 
 def measured(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -48,7 +50,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return one_of_each(docs)
+    return one_of_each(docs, ngram=COPY_NGRAM, percent=COPY_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

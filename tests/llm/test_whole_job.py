@@ -36,3 +36,13 @@ def test_passages_of_any_number_of_lines(spark):
         got = {r.doc_id: r.text for r in dedup_passages(docs, least_words=least).collect()}
         assert [got[k] for k in range(len(texts))] == brute_passages(texts, least)
     assert (got[26], got[29]) == ("Another start. other end", "")
+
+
+def test_near_copies_of_the_pipeline_share_four_fifths(spark, sf_dir):
+    from corpus_pipeline import near_copies
+
+    words = [f"w{k}" for k in range(50)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:25], "other", *words[26:]])), (3, " ".join([*words[:15], "one", *words[16:35], "two", *words[36:]]))]
+    five = lambda t: {tuple(t.split()[k : k + 5]) for k in range(46)}
+    assert len(five(rows[0][1]) & five(rows[1][1])) / len(five(rows[0][1]) | five(rows[1][1])) == pytest.approx(41 / 51)
+    assert sorted(r.doc_id for r in near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()) == [1, 3]
