@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -160,9 +161,15 @@ class IvfPq:
 
     Cells and code books are trained by k-means on a sample of at most train_rows rows;
     every row is indexed. Cells and codes are columns, so probing is a filter on cell.
+
+    Of n rows there are sqrt(n) cells if nlist is None (MIN_CELLS at least). A search probes
+    PROBED of them and scores n * RERANKED rows exactly if it isn't told otherwise, so its
+    recall doesn't fall as the table grows.
     """
 
-    def __init__(self, nlist: int = 16, m: int = 8, codes: int = 64, train_rows: int = 20_000, seed: int = 7):
+    MIN_CELLS, PROBED, RERANKED = 16, 0.75, 0.02
+
+    def __init__(self, nlist: int | None = None, m: int = 16, codes: int = 64, train_rows: int = 20_000, seed: int = 7):
         self.nlist, self.m, self.codes, self.train_rows, self.seed = nlist, m, codes, train_rows, seed
 
     def _kmeans(self, x: np.ndarray, k: int) -> np.ndarray:
@@ -178,7 +185,9 @@ class IvfPq:
     def fit(self, docs: DataFrame) -> IvfPq:
         sample = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(self.train_rows).select("embedding").toPandas()["embedding"]
         x = np.array(sample.tolist(), float)
-        self.cells = self._kmeans(x, self.nlist if len(x) >= self.nlist else max(2, len(x) // 2))
+        self.n_rows = len(x) if len(x) < self.train_rows else docs.count()
+        nlist = self.nlist or max(self.MIN_CELLS, math.isqrt(self.n_rows))
+        self.cells = self._kmeans(x, nlist if len(x) >= nlist else max(2, len(x) // 2))
         self.width = x.shape[1] // self.m
         self.books = [self._kmeans(x[:, k * self.width : (k + 1) * self.width], self.codes) for k in range(self.m)]
         return self
@@ -195,14 +204,15 @@ class IvfPq:
 
         return docs.select("doc_id", "embedding").mapInPandas(run, "doc_id long, cell int, codes array<smallint>")
 
-    def search(self, index: DataFrame, query: list[float], k: int, nprobe: int = 4, rerank: DataFrame | None = None, widen: int = 8) -> DataFrame:
-        """Inner products looked up by code; with rerank (docs), widen * k of them are scored exactly."""
+    def search(self, index: DataFrame, query: list[float], k: int, nprobe: int | None = None, rerank: DataFrame | None = None, widen: int = 8) -> DataFrame:
+        """Inner products looked up by code; with rerank (docs), widen * k of them or the share RERANKED of all rows, whichever is more, are scored exactly."""
         q = np.array(query, float)
+        nprobe = nprobe or max(8, math.ceil(self.PROBED * len(self.cells)))
         probe = (self.cells @ q).argsort()[::-1][: min(nprobe, len(self.cells))].tolist()
         tables = [vector_literal((b @ q[n * self.width : (n + 1) * self.width]).tolist()) for n, b in enumerate(self.books)]
         score = sum((F.element_at(t, F.element_at("codes", n + 1).cast("int") + 1) for n, t in enumerate(tables)), F.lit(0.0))
         hits = index.where(F.col("cell").isin(probe)).select(F.lit(0).alias("qid"), "doc_id", score.alias("score"))
         if rerank is None:
             return ranked(hits, k, by=F.col("score"))
-        some = ranked(hits, widen * k, by=F.col("score")).select("doc_id")
+        some = ranked(hits, max(widen * k, math.ceil(self.RERANKED * self.n_rows)), by=F.col("score")).select("doc_id")
         return knn(rerank.join(some, "doc_id", "left_semi"), query, k)

@@ -396,7 +396,7 @@ def embed_documents(spark: SparkSession, d: str) -> DataFrame:
 def ivf_pq_search(spark: SparkSession, d: str) -> DataFrame:
     v = vectors_of(spark, d)
     pq = vectors.IvfPq().fit(v)
-    return pq.search(pq.index(v), query_vector(spark, d), 10, nprobe=8, rerank=v).select("doc_id", "score", "rank")
+    return pq.search(pq.index(v), query_vector(spark, d), 10, rerank=v).select("doc_id", "score", "rank")
 
 
 @registered
