@@ -3,9 +3,10 @@
 Candidates are the values of assignments, access key ids, long hexadecimal runs and, as
 bare candidates, long runs of mixed letters and digits that none of those covers. Their
 hashes are counted over the whole corpus by distinct repositories and owners: a value of
-one owner looks live, one that example_owners or more owners have is a widely copied
-example, others are shared. Bare candidates are reported, with kind "live", only where
-their value is one owner's: ownership is what tells a credential from a common string.
+one owner looks live unless example_repositories or more of its repositories have it, one
+that example_owners or more owners have is a widely copied example, others are shared.
+n_repositories is the number for the most copied value of a document. Bare candidates are reported, with kind "live", only where
+their value is live: ownership is what tells a credential from a common string.
 
 Spans are (kind, start, end) in code points. A pattern's places follow from the text
 between its matches: split() gives those parts, regexp_extract_all() the matches, and
@@ -30,7 +31,7 @@ HEX = r"[0-9a-f]{16,}"  # of [0-9a-f]+ the matches of 16 characters and more
 ASSIGN_LEAST = 12
 KINDS = ["assign", "access", "hex", "live"]
 BARE = r"[A-Za-z0-9+/_-]{24,}"
-EXAMPLE_OWNERS = 3
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 3
 
 
 def matches(text: Column, pattern: str, value_group: int = 0) -> Column:
@@ -103,15 +104,16 @@ def ownership(values: DataFrame) -> DataFrame:
     return by_owner.groupBy("value_hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n_repositories").alias("n_repositories"))
 
 
-def secret_scan(docs: DataFrame, *, owner: str = "source", repository: str = "doc_id", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_shared, n_example for every row of docs."""
+def secret_scan(docs: DataFrame, *, owner: str = "source", repository: str = "doc_id", example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_shared, n_example, n_repositories for every row of docs."""
     found = cut(candidates(docs, owner, repository))
     each = found.select(ROW_ID, ROW_KEY, "owner", "repository", F.explode(F.concat("base", "bare")).alias("s")).withColumn("value_hash", F.xxhash64("s.value"))
     owned = ownership(each.select("value_hash", "owner", "repository"))
-    status = F.when(F.col("n_owners") == 1, "live").when(F.col("n_owners") >= example_owners, "example").otherwise("shared")
-    judged = each.join(owned.select("value_hash", status.alias("status")), "value_hash")
+    live = (F.col("n_owners") == 1) & (F.col("n_repositories") < example_repositories)
+    status = F.when(F.col("n_owners") >= example_owners, "example").when(live, "live").otherwise("shared")
+    judged = each.join(owned.select("value_hash", status.alias("status"), "n_repositories"), "value_hash")
     kept = F.when((F.col("s.kind") != "live") | (F.col("status") == "live"), F.struct("s.start", "s.order", "s.end", "s.kind", "status"))
-    by_doc = judged.groupBy(ROW_ID, ROW_KEY).agg(F.array_sort(F.collect_set(kept)).alias("spans"))
+    by_doc = judged.groupBy(ROW_ID, ROW_KEY).agg(F.array_sort(F.collect_set(kept)).alias("spans"), F.max("n_repositories").alias("n_repositories"))
     rows = keyed(docs, keep=False).withColumn("doc_id", F.when(F.col(ROW_ID) != -(2**63), F.col(ROW_ID)))
     base = F.filter("spans", lambda s: s["kind"] != "live")
 
@@ -126,4 +128,5 @@ def secret_scan(docs: DataFrame, *, owner: str = "source", repository: str = "do
         F.sha2(written(base).cast("binary"), 256).alias("base_sha256"),
         written(F.col("spans")).alias("spans"),
         *(count("status", k).alias(f"n_{k}") for k in ("live", "shared", "example")),
+        F.coalesce("n_repositories", F.lit(0)).cast("long").alias("n_repositories"),
     )

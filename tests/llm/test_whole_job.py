@@ -46,3 +46,14 @@ def test_near_copies_of_the_pipeline_share_four_fifths(spark, sf_dir):
     five = lambda t: {tuple(t.split()[k : k + 5]) for k in range(46)}
     assert len(five(rows[0][1]) & five(rows[1][1])) / len(five(rows[0][1]) | five(rows[1][1])) == pytest.approx(41 / 51)
     assert sorted(r.doc_id for r in near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()) == [1, 3]
+
+
+def test_a_value_all_over_one_source_is_not_live(spark):
+    from lodestone.llm.secret_scan import secret_scan
+
+    copied, own = "Ab1Cd2Ef3Gh4Ij5Kl6Mn7Op8", "Zk3vQ9x81LmN0pRs7TuVwXyZ"
+    rows = [(k, f"see {copied} here {k}", "hot") for k in range(40)] + [(50, f"token={copied}", "hot"), (60, f"mine {own}", "hot"), (61, "none", "hot")]
+    got = {r.doc_id: r for r in secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[0].spans == "" and (got[0].n_live, got[0].n_repositories) == (0, 41)
+    assert got[50].spans.startswith("assign:") and (got[50].n_live, got[50].n_shared) == (0, 1)
+    assert (got[60].spans, got[60].n_repositories, got[61].n_repositories) == ("live:5:29", 1, 0)
