@@ -3,7 +3,9 @@
 An Aho-Corasick automaton finds the magic bytes of all known formats in one pass; a
 validator for each format confirms structure and length from its headers. What is
 confirmed at byte 0 and reaches the end is the column's true type and corrects a wrong
-declared one; what is confirmed elsewhere is carved out as embedded media.
+declared one; what is confirmed elsewhere is carved out as embedded media, inside other
+confirmed media too: parent is the start of the innermost one that holds it whole, null
+if none does. Of what is compressed only the outside is looked at.
 
 Texts can be stored as media: their UTF-8 bytes, filled with spaces to a multiple of 192
 bytes, become the samples of a WAV sound, the pixels of a BMP image or those of a PNG
@@ -18,6 +20,7 @@ null; an empty table gives an empty result; other columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -46,6 +49,11 @@ SIGNATURES = {
 }
 
 
+#: An end mark with the place of its table and the white space after it, and what stands at that place.
+PDF_END = re.compile(rb"startxref\s+(\d{1,18})\s+%%EOF\s*")
+PDF_TABLE = re.compile(rb"xref\b|\d+\s+\d+\s+obj\b")
+
+
 def wav_length(b: bytes, at: int) -> int:
     """Bytes of the sound at this place, 0 if there is none; so for the other formats."""
     if b[at + 8 : at + 16] != b"WAVEfmt " or len(b) < at + 44:
@@ -119,11 +127,14 @@ def jpeg_length(b: bytes, at: int) -> int:
 
 
 def zip_length(b: bytes, at: int) -> int:
+    """Up to the first end record that fits its own offsets: stored archives have end records of their own before it."""
     end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
-        return 0
-    size, offset, comment = struct.unpack_from("<IIH", b, end + 12)
-    return end + 22 + comment - at if at + offset + size == end and end + 22 + comment <= len(b) else 0
+    while 0 <= end <= len(b) - 22:
+        size, offset, comment = struct.unpack_from("<IIH", b, end + 12)
+        if at + offset + size == end and end + 22 + comment <= len(b):
+            return end + 22 + comment - at
+        end = b.find(b"PK\x05\x06", end + 4)
+    return 0
 
 
 def gzip_length(b: bytes, at: int) -> int:
@@ -139,8 +150,17 @@ def gzip_length(b: bytes, at: int) -> int:
 
 
 def pdf_length(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b.find(b"startxref", at, end) >= 0 else 0
+    """Up to the last end mark of this file, and the white space after it.
+
+    Updates append further end marks. Past another header an end mark is this file's only if
+    its startxref leads to a table or object that was appended too.
+    """
+    end = 0
+    for m in PDF_END.finditer(b, at):
+        table = at + int(m[1])
+        if not end or b.find(b"%PDF-", end, m.start()) < 0 or (table >= end and PDF_TABLE.match(b, table, m.start())):
+            end = m.end()
+    return end - at if end else 0
 
 
 VALIDATORS: dict[str, Callable[[bytes, int], int]] = {
@@ -167,41 +187,49 @@ def automaton():
     return state.signatures
 
 
-def sniff(data: bytes) -> list[tuple[int, int, str]]:
-    """(start, length, type) of all confirmed media that lie in no other, by start."""
-    found, end = [], 0
+def carve(data: bytes) -> list[tuple[int, int, str, int | None]]:
+    """(start, length, type, start of the parent) of all confirmed media by start; the parent is None for those that lie in no other."""
+    found, around = [], []
     for last, (n, kind) in automaton().iter(data.decode("latin-1")):
         at = last + 1 - n
-        if at >= end and (length := VALIDATORS[kind](data, at)):
-            found.append((at, length, kind))
-            end = at + length
+        while around and around[-1][1] <= at:
+            around.pop()
+        length = VALIDATORS[kind](data, at)
+        if length and (not around or at + length <= around[-1][1]):
+            found.append((at, length, kind, around[-1][0] if around else None))
+            around.append((at, at + length))
     return found
 
 
+def sniff(data: bytes) -> list[tuple[int, int, str]]:
+    """(start, length, type) of all confirmed media that lie in no other, by start."""
+    return [(at, length, kind) for at, length, kind, parent in carve(data) if parent is None]
+
+
 def true_type(data: bytes, found: list[tuple[int, int, str]]) -> str:
     return next((kind for at, length, kind in found if at == 0 and length == len(data)), UNKNOWN)
 
 
 def sniff_media(media: DataFrame, *, column: str = "media", declared: str = "declared_type") -> DataFrame:
-    """media with true_type, corrected and embedded (start, length, type of what was carved) added."""
+    """media with true_type, corrected and embedded (start, length, type and parent of what was carved) added."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("type", pa.string())]))
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("parent", pa.int64())]))
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE_ROWS):
                 batch = whole.slice(at, SLICE_ROWS)
                 types, corrected, embedded = [], [], []
                 for data, said in zip(batch.column(column).to_pylist(), batch.column(declared).to_pylist(), strict=True):
-                    found = sniff(data or b"")
-                    types.append(true_type(data or b"", found))
+                    found = carve(data or b"")
+                    types.append(true_type(data or b"", [(s, n, t) for s, n, t, parent in found if parent is None]))
                     corrected.append(types[-1] != said)
-                    embedded.append([{"start": s, "length": n, "type": t} for s, n, t in found if n < len(data)])
+                    embedded.append([{"start": s, "length": n, "type": t, "parent": p} for s, n, t, p in found if n < len(data)])
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(types, pa.string()), pa.array(corrected, pa.bool_()), pa.array(embedded, kind)],
                     names=[*batch.schema.names, "true_type", "corrected", "embedded"],
                 )
 
-    added = "true_type string, corrected boolean, embedded array<struct<start:bigint,length:bigint,type:string>>"
+    added = "true_type string, corrected boolean, embedded array<struct<start:bigint,length:bigint,type:string,parent:bigint>>"
     have = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema.fields)
     return media.mapInArrow(run, f"{have}, {added}")
 

@@ -57,3 +57,30 @@ def test_a_value_all_over_one_source_is_not_live(spark):
     assert got[0].spans == "" and (got[0].n_live, got[0].n_repositories) == (0, 41)
     assert got[50].spans.startswith("assign:") and (got[50].n_live, got[50].n_shared) == (0, 1)
     assert (got[60].spans, got[60].n_repositories, got[61].n_repositories) == ("live:5:29", 1, 0)
+
+
+def test_media_inside_media(spark):
+    import io
+    import zipfile
+
+    from lodestone.llm.media import carve, sniff, sniff_media, to_bmp, to_png, to_wav
+
+    png = to_png(bytes(192))
+    inner = to_bmp(png.ljust(384))
+    outer = to_wav(b"ab" + inner + b"cd")
+    want = [(0, len(outer), "audio/wav", None), (46, len(inner), "image/bmp", 0), (100, len(png), "image/png", 46)]
+    assert carve(outer) == want and carve(b"?" + outer)[0] == (1, len(outer), "audio/wav", None)
+    z, stored = io.BytesIO(), io.BytesIO()
+    for into, name, data in ((z, "a", "b"), (stored, "in.zip", None)):
+        with zipfile.ZipFile(into, "w") as f:
+            f.writestr(name, z.getvalue() if data is None else data)
+    whole = stored.getvalue()
+    assert sniff(whole) == [(0, len(whole), "application/zip")] and carve(whole)[1][1:] == (len(z.getvalue()), "application/zip", 0)
+    body = b"%PDF-1.4\n1 0 obj\nendobj\n"
+    pdf = body + b"xref\ntrailer\nstartxref\n%d\n%%%%EOF\n" % len(body)
+    updated = pdf + b"2 0 obj\nendobj\nxref\ntrailer\nstartxref\n%d\n%%%%EOF\r\n" % (len(pdf) + 15)
+    for data in (pdf, updated, b"%PDF-1.4 startxref 0 %%EOF 1 0 obj endobj startxref 0 %%EOF\n"):
+        assert sniff(data) == [(0, len(data), "application/pdf")]
+    assert sniff(pdf + updated) == [(0, len(pdf), "application/pdf"), (len(pdf), len(updated), "application/pdf")]
+    (row,) = sniff_media(spark.createDataFrame([(bytearray(outer), "image/png")], "media binary, declared_type string")).collect()
+    assert (row.true_type, row.corrected) == ("audio/wav", True) and [(e.start, e.length, e.type, e.parent) for e in row.embedded] == want[1:]
