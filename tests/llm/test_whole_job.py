@@ -84,3 +84,23 @@ def test_media_inside_media(spark):
     assert sniff(pdf + updated) == [(0, len(pdf), "application/pdf"), (len(pdf), len(updated), "application/pdf")]
     (row,) = sniff_media(spark.createDataFrame([(bytearray(outer), "image/png")], "media binary, declared_type string")).collect()
     assert (row.true_type, row.corrected) == ("audio/wav", True) and [(e.start, e.length, e.type, e.parent) for e in row.embedded] == want[1:]
+
+
+def test_texts_that_share_an_id_are_all_compared(spark):
+    from lodestone.llm.jaccard_join import jaccard_components, jaccard_digest
+
+    def text(name, *places):
+        return " ".join(f"{name}{k}" + f" edit{k}" * (k in places) for k in range(120))
+
+    # two edits apart is similar, four is not: a chain of which the two in the middle share an id, or have none
+    rows = []
+    for n in range(16):
+        chain = [text(f"n{n}x", 10, 30, 50, 70), text(f"n{n}x", 10, 30), text(f"n{n}x"), text(f"n{n}x", 90, 110)]
+        middle = None if n % 2 else n
+        rows += list(zip((1000 + n, middle, middle, 2000 + n), chain, strict=True))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for block in (512, 7):
+        got = [(r.doc_id, r.component_id) for r in jaccard_digest(jaccard_components(docs, block_classes=block)).collect()]
+        assert len(got) == len(rows)
+        for n in range(16):
+            assert {c for d, c in got if d in (1000 + n, 2000 + n)} == {None if n % 2 else n}
