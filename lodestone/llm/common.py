@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import tempfile
 import types
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,15 +38,64 @@ def keyed(docs: DataFrame, text: str = "text", *, keep: bool = True) -> DataFram
     return docs.select(*cols, *([t.alias("text")] if keep else []))
 
 
+def named_rows(docs: DataFrame) -> DataFrame:
+    """docs with the identity of keyed() added; a null text becomes an empty one."""
+    return docs.withColumn("text", text_or_empty()).withColumns({ROW_ID: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), ROW_KEY: F.xxhash64("text")})
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it; on local[n] alone one of our own will do."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    state = worker_state()
+    if not hasattr(state, "folder"):
+        state.folder = tempfile.mkdtemp(prefix="lodestone-")
+    return state.folder
+
+
+def own_folder(spark: SparkSession) -> str:
+    """A folder in the shared one for this application's tables, removed when its JVM ends."""
+    folder = f"{shared_folder(spark)}/lodestone-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a table to the shared folder and read again: lineage ends here."""
+    spark = df.sparkSession
+    folder = f"{own_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the folder that all executors share and go on from there."""
+    """df checkpointed in the folder that all executors share: for small tables between rounds."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
+        sc.setCheckpointDir(f"{own_folder(df.sparkSession)}/checkpoints")
     return df.checkpoint(eager=True)
 
 
+def running_sums(values: Column, block: int = 256) -> Column:
+    """The sum before each element of an array of int; the work grows as the length, up to block ** 2 elements and beyond by its square over block ** 2."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / block).cast("int")), lambda k: F.slice(values, k * block + 1, block))
+    sums = F.transform(blocks, lambda b: F.aggregate(b, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))))
+    offsets = lambda s: F.aggregate(s, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.element_at(p, -1))))
+    placed = lambda s: F.flatten(F.zip_with(s, F.slice(offsets(s), 1, F.size(s)), lambda p, o: F.transform(F.slice(p, 1, F.size(p) - 1), lambda x: x + o)))
+    # s is an element here, so that it is computed once
+    return F.element_at(F.transform(F.array(sums), placed), 1)
+
+
 def arrow_rows(spark: SparkSession, n: int) -> None:
     """Rows in a batch to Python from here on: few for whole texts, many for rows of numbers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))

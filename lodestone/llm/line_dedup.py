@@ -1,31 +1,29 @@
 """Line dedup by winnowing over line hashes, in SQL functions only.
 
 A text is cut after every line feed, and long lines after every sentence end too; each
-part is a line here and is compared without the white space around it. A fingerprint is
-the hash of gram_lines consecutive lines. Of every window_grams consecutive fingerprints
-the least (of equal ones the last) is selected, so two places that agree in
-gram_lines + window_grams - 1 lines, the guarantee, select the same one there.
-
-Positions are joined by fingerprint: those whose fingerprint stands only once are
-dropped. dedup_lines compares, at the others, every stretch of guarantee lines that
-selected the fingerprint; a stretch is a repeat if an equal one stands earlier, in order
-of document and position. Repeats that touch or overlap form runs, and runs of at least
-least_words words are deleted; the first occurrence stays. So equal passages of fewer
-lines than the guarantee stay, however long they are: that is what the SQL of op2 says.
-
-dedup_passages has no least number of lines: a match is any stretch of equal lines with
-least_words words or more in all, be it one line. Lines without words are left out before
-lines are compared, and go where they lie inside a run. From each line on, the shortest
-stretch with enough words is taken, and the least line hash in it is the fingerprint that
-it selects; stretches that share one are compared. A match begins with such a stretch in
-both places. Its further lines are found by the shortest stretches that end with each line,
-so a line goes if and only if some match with an earlier place holds it.
+part is a line here and is compared without the white space around it. Lines without
+words are left out before lines are compared, and go where they lie inside a run.
+
+The window of a line is the shortest stretch from it on with least_words words or more,
+and the least line hash in it (of equal ones the first) is the fingerprint that it
+selects. Two places that share least_words words in equal lines share a whole window,
+and so the fingerprint: that is the guarantee, be the passage one line or many.
+
+Positions are joined by fingerprint: those whose fingerprint one place alone selects are
+dropped, and at the others the windows around it are compared by two independent 64-bit
+hashes of their line hashes. The first of the equal places, in order of document and
+position, is the source; all later ones match it. Matches then grow line by line: to the
+left a window that starts one line earlier is a match itself, and so is the next one to
+the right; what can lie beyond the last window of a match, the lines before the end of
+the window that does not match any more, is extended by hashes of the window and the
+lines after it. A line goes if and only if a stretch of equal lines with least_words words
+or more that holds it has an equal one earlier; the first occurrence stays.
 
 Edge cases: a null or empty text has no lines and stays empty; documents are ordered by
 doc_id (null first) and text hash; rows equal in doc_id and text are one document, not
 repeats of each other, and each has its row in the result; an empty table gives an empty
-result; other columns are kept by dedup_lines, but columns named like those that it adds
-(n_lines, runs) are replaced.
+result; other columns are kept, but columns named like those that it adds (n_lines, runs)
+are replaced. Work and memory for one text grow with its length.
 """
 
 from __future__ import annotations
@@ -33,172 +31,129 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_ID, ROW_KEY, cut, text_or_empty
+from .common import ROW_ID, ROW_KEY, named_rows, running_sums, stored
 
-GRAM_LINES, WINDOW_GRAMS, LEAST_WORDS = 2, 3, 40
+LEAST_WORDS = 40
 #: Where a text is cut; the sign before the place stays with its line.
 CUTS = r"(?<=\n)|(?<=[.!?] )"
 ENDS = ("\n", ". ", "! ", "? ")
 MARK = "\x01"
 SPACE = " \n\r\t"
+PLACE = [ROW_ID, ROW_KEY]
 
 
-def lines_of(text: Column) -> Column:
-    """Lines, by marks after their ends; a text that has the mark itself is cut by pattern."""
-    marked = text
+def marked(text: Column) -> Column:
     for end in ENDS:
-        marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
-    parts = F.when(F.contains(text, F.lit(MARK)), F.split(text, CUTS, -1)).otherwise(F.split(marked, MARK, -1))
-    return F.filter(parts, lambda x: x != "")
-
-
-def hashes_of(text: Column) -> Column:
-    return F.transform(lines_of(text), lambda x: F.xxhash64(F.btrim(x, F.lit(SPACE))))
-
-
-def grams_of(gram_lines: int) -> Column:
-    """(gram, back) for each place; of equal grams the last has the least back."""
-    return F.transform(
-        F.sequence(F.lit(1), F.size("h") - gram_lines + 1),
-        lambda k: F.struct(F.xxhash64(F.slice("h", k, gram_lines)).alias("gram"), (-k).alias("back")),
-    )
-
-
-def fingerprints(docs: DataFrame, gram_lines: int, window_grams: int) -> DataFrame:
-    """Selected fingerprints: key of the document, gram, and each stretch that selected it (pos, hash)."""
-    reach = gram_lines + window_grams - 1
-    stretches = F.transform(
-        F.sequence(F.lit(1), F.size("h") - reach + 1),
-        lambda k: F.struct(F.array_min(F.slice("grams", k, window_grams))["gram"].alias("gram"), k.alias("pos"), F.xxhash64(F.slice("h", k, reach)).alias("hash")),
-    )
-    rows = docs.select(ROW_ID, ROW_KEY, hashes_of(F.col("text")).alias("h")).where(F.size("h") >= reach)
-    return rows.withColumn("grams", grams_of(gram_lines)).select(ROW_ID, ROW_KEY, F.inline(stretches))
-
-
-def selected_grams(docs: DataFrame, gram_lines: int, window_grams: int) -> DataFrame:
-    """gram and a hash of its place, for each window that selects it."""
-    reach = gram_lines + window_grams - 1
-    picks = F.transform(F.sequence(F.lit(1), F.size("h") - reach + 1), lambda k: F.array_min(F.slice("grams", k, window_grams)))
-    rows = docs.select(ROW_ID, ROW_KEY, hashes_of(F.col("text")).alias("h")).where(F.size("h") >= reach)
-    each = rows.withColumn("grams", grams_of(gram_lines)).select(ROW_ID, ROW_KEY, F.inline(picks))
-    return each.select("gram", F.xxhash64(ROW_ID, ROW_KEY, "back").alias("place"))
-
-
-def repeats(docs: DataFrame, gram_lines: int, window_grams: int) -> DataFrame:
-    """Key of the document and pos of every stretch of which an equal one stands earlier."""
-    place = F.struct(ROW_ID, ROW_KEY, "pos")
-    # a gram that one place alone selects has no match
-    selected = selected_grams(docs, gram_lines, window_grams)
-    shared = cut(selected.groupBy("gram").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low <> high").select("gram"))
-    near = cut(fingerprints(docs, gram_lines, window_grams).join(shared, "gram", "left_semi").select(ROW_ID, ROW_KEY, "pos", "hash"))
-    first = cut(near.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("hash", "first"))
-    return near.join(first, "hash").where(place != F.col("first")).select(ROW_ID, ROW_KEY, "pos")
+        text = F.replace(text, F.lit(end), F.lit(end + MARK))
+    return text
 
 
-def runs_of(starts: Column, reach: int) -> Column:
-    """(start, end) of the stretches united; starts are sorted, ends exclusive, both from 0."""
-    kind = "array<struct<start:int,end:int>>"
+def lines_of(text: Column) -> Column:
+    """Lines, by marks after their ends; a text that has the mark itself is cut by pattern."""
+    parts = F.when(F.contains(text, F.lit(MARK)), F.split(text, CUTS, -1)).otherwise(F.split(marked(text), MARK, -1))
+    return F.filter(parts, lambda x: x != "")
 
-    def add(acc: Column, p: Column) -> Column:
-        last = F.element_at(acc["out"], -1)
-        joined = F.concat(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), F.array(F.struct(last["start"].alias("start"), (p - 1 + reach).alias("end"))))
-        fresh = F.concat(acc["out"], F.array(F.struct((p - 1).alias("start"), (p - 1 + reach).alias("end"))))
-        return F.struct(F.when(p - 1 <= acc["end"], joined).otherwise(fresh).alias("out"), (p - 1 + reach).alias("end"))
 
-    return F.aggregate(starts, F.struct(F.array().cast(kind).alias("out"), F.lit(-1).alias("end")), add, lambda acc: acc["out"])
+def n_lines(text: Column) -> Column:
+    """The number of lines without making them, where the text has no mark of its own."""
+    ended = F.lit(False)
+    for end in ENDS:
+        ended = ended | F.endswith(text, F.lit(end))
+    counted = F.length(marked(text)) - F.length(text) + F.when(ended | (text == ""), 0).otherwise(1)
+    return F.when(F.contains(text, F.lit(MARK)), F.size(lines_of(text))).otherwise(counted)
 
 
-def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+def windows(docs: DataFrame, least_words: int) -> DataFrame:
+    """Key of the document, h: hashes of its lines with words, ends: for each line with a window, the window's last line (from 1)."""
+    each = docs.select(*PLACE, F.filter(F.transform(lines_of(F.col("text")), lambda x: F.struct(F.xxhash64(F.btrim(x, F.lit(SPACE))).alias("h"), F.regexp_count(x, F.lit(r"\S+")).alias("w"))), lambda s: s["w"] > 0).alias("s"))
+    split = each.select(*PLACE, F.col("s.h").alias("h"), F.col("s.w").alias("w"))
+    # of_word: the line of every word; before: the words before every line
+    summed = split.select(*PLACE, "h", F.flatten(F.transform("w", lambda x, k: F.array_repeat(k + 1, x))).alias("of_word"), running_sums(F.col("w")).alias("before"))
+    has = F.filter("before", lambda b: b + least_words <= F.size("of_word"))
+    ends = F.transform(has, lambda b: F.get("of_word", b + least_words - 1))
+    return summed.select(*PLACE, "h", ends.alias("ends"))
 
 
-def dedup_lines(docs: DataFrame, *, gram_lines: int = GRAM_LINES, window_grams: int = WINDOW_GRAMS, least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs with repeated runs cut out of text, and with n_lines and runs (start, end in lines) added."""
-    docs = docs.drop("n_lines", "runs", ROW_ID, ROW_KEY)
-    reach = gram_lines + window_grams - 1
-    whole = docs.withColumn("text", text_or_empty()).withColumns({ROW_ID: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), ROW_KEY: F.xxhash64("text")})
-    found = repeats(whole.select(ROW_ID, ROW_KEY, "text"), gram_lines, window_grams)
-    by_doc = found.groupBy(ROW_ID, ROW_KEY).agg(F.array_sort(F.collect_set("pos")).alias("_line_dedup_starts"))
-    joined = whole.join(by_doc, [ROW_ID, ROW_KEY], "left").withColumn("_line_dedup_lines", lines_of(F.col("text")))
-    spans = F.when(F.col("_line_dedup_starts").isNotNull(), runs_of(F.col("_line_dedup_starts"), reach)).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+def selected(found: DataFrame) -> DataFrame:
+    """gram and a hash of its place, once for each place that a window selects."""
 
-    def passage(r: Column) -> Column:
-        return F.array_join(F.slice("_line_dedup_lines", r["start"] + 1, r["end"] - r["start"]), "")
+    def pick(end: Column, k: Column) -> Column:
+        window = F.slice("h", k + 1, end - k)
+        return (k + F.array_position(window, F.array_min(window))).cast("int")
 
-    kept = F.array_join(F.filter("_line_dedup_lines", lambda x, i: ~F.exists("runs", lambda r: (r["start"] <= i) & (i < r["end"]))), "")
-    out = joined.withColumn("runs", F.filter(spans, lambda r: word_count(passage(r)) >= least_words)).withColumn("n_lines", F.size("_line_dedup_lines").cast("long"))
-    return out.withColumn("text", F.when(F.size("runs") > 0, kept).otherwise(F.col("text"))).select(*docs.columns, "n_lines", "runs")
+    at = F.explode(F.array_distinct(F.transform("ends", pick))).alias("at")
+    return found.select(*PLACE, "h", at).select(F.get("h", F.col("at") - 1).alias("gram"), F.xxhash64(*PLACE, "at").alias("place"))
 
 
-def shortest_stretches(docs: DataFrame, least_words: int) -> DataFrame:
-    """docs (h, w: hash and words of each line) with grams, and the first (pos, end) from each line on and the last up to each line that have enough words."""
-    grams = F.transform("h", lambda x, k: F.struct(x.alias("gram"), (-k).alias("back")))
-    before = F.aggregate("w", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    of_word = F.flatten(F.transform("w", lambda x, k: F.array_repeat(k + 1, x)))
-    rows = docs.withColumns({"grams": grams, "before": before, "of_word": of_word}).where(F.size("of_word") >= least_words)
-    lines, at = F.sequence(F.lit(1), F.size("h")), lambda k: F.element_at("before", k)
-    first = F.transform(F.filter(lines, lambda k: at(k) + least_words <= F.size("of_word")), lambda k: F.struct(k.alias("pos"), F.element_at("of_word", at(k) + least_words).alias("end")))
-    last = F.transform(F.filter(lines, lambda k: at(k + 1) >= least_words), lambda k: F.struct(F.element_at("of_word", at(k + 1) - least_words + 1).alias("pos"), k.alias("end")))
-    # those of last that are shortest from their first line on are in first
-    return rows.withColumns({"first": first, "last": F.filter(last, lambda s: at(s["end"]) - at(s["pos"]) >= least_words)})
+def positions(found: DataFrame) -> DataFrame:
+    """Every window: gram, pos, end, two hashes, and the hashes of the lines between its end and the end of the next one (tail)."""
 
+    def window(end: Column, k: Column) -> Column:
+        lines = F.slice("h", k + 1, end - k)
+        beyond = F.coalesce(F.get("ends", k + 1), F.size("h") + 1)
+        return F.struct(
+            F.array_min(lines).alias("gram"), (k + 1).alias("pos"), end.alias("end"), F.xxhash64(lines).alias("hash"), F.xxhash64(F.lit(1), lines).alias("check"),
+            F.slice("h", end + 1, F.greatest(beyond - end - 1, F.lit(0))).alias("tail"),
+        )
 
-def lines_from(name: str, s: Column) -> Column:
-    return F.slice(name, s["pos"], s["end"] - s["pos"] + 1)
+    return found.select(*PLACE, F.inline(F.transform("ends", window)))
 
 
-def later_ones(stretches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of stretches (key of the document, pos, end, hash) those with an equal one, and of these all but the first."""
-    place = F.struct(ROW_ID, ROW_KEY, "pos")
-    first = cut(stretches.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("hash", "first"))
-    equal = stretches.join(first, "hash")
-    return equal, equal.where(place != F.col("first")).select(ROW_ID, ROW_KEY, "pos", "end")
+def later_ones(stretches: DataFrame) -> DataFrame:
+    """Of stretches (key of the document, pos, end, hash, check, ...) those of which an equal one stands earlier."""
+    place = F.struct(*PLACE, "pos")
+    equal = stretches.groupBy("hash", "check").agg(F.min(place).alias("source"), F.max(place).alias("last")).where("source <> last")
+    return stretches.join(stored(equal.drop("last")), ["hash", "check"]).where(place != F.col("source"))
 
 
-def passages(docs: DataFrame, least_words: int) -> DataFrame:
-    """Key of the document, pos and end (from 1, of the lines with words) of stretches that together are all repeats."""
-    lines = F.filter(F.transform(lines_of(F.col("text")), lambda x: F.btrim(x, F.lit(SPACE))), lambda x: F.regexp_like(x, F.lit(r"\S")))
-    rows = docs.select(ROW_ID, ROW_KEY, lines.alias("lines"))
-    hashed = cut(rows.select(ROW_ID, ROW_KEY, F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), F.transform("lines", lambda x: F.regexp_count(x, F.lit(r"\S+"))).alias("w")))
-    found = shortest_stretches(hashed, least_words)
-    picks = found.select(ROW_ID, ROW_KEY, F.inline(F.transform("first", lambda s: F.array_min(lines_from("grams", s)))))
-    selected = picks.select("gram", F.xxhash64(ROW_ID, ROW_KEY, "back").alias("place"))
-    shared = cut(selected.groupBy("gram").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low <> high").select("gram"))
-    hash_of = lambda s: F.xxhash64(lines_from("h", s)).alias("hash")
-    each = found.select(ROW_ID, ROW_KEY, F.inline(F.transform("first", lambda s: F.struct(F.array_min(lines_from("grams", s))["gram"].alias("gram"), s["pos"].alias("pos"), s["end"].alias("end"), hash_of(s)))))
-    equal, begun = later_ones(cut(each.join(shared, "gram", "left_semi").drop("gram")))
-    # only documents that hold the beginning of a match can hold the rest of one
-    matched = hashed.join(equal.select(ROW_ID, ROW_KEY), [ROW_ID, ROW_KEY], "left_semi")
-    rest = shortest_stretches(matched, least_words).select(ROW_ID, ROW_KEY, F.inline(F.transform("last", lambda s: F.struct(s["pos"].alias("pos"), s["end"].alias("end"), hash_of(s)))))
-    return begun.unionByName(later_ones(cut(rest))[1])
+def repeats(docs: DataFrame, least_words: int) -> DataFrame:
+    """Key of the document and the sorted lines (from 1, of those with words) that are repeats."""
+    # filtered when stored only: a filter would carry the sums below into each step of its lambda
+    found = stored(windows(docs, least_words)).where(F.size("ends") > 0)
+    # a fingerprint that one place alone selects has no match
+    shared = selected(found).groupBy("gram").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low <> high").select("gram")
+    near = stored(positions(found).join(stored(shared), "gram", "left_semi").drop("gram"))
+    matched = later_ones(near).select(*PLACE, F.struct("pos", "end", (F.size("tail") > 0).alias("may_grow"), "hash", "check").alias("m"))
+    by_doc = stored(matched.groupBy(*PLACE).agg(F.array_sort(F.collect_set("m")).alias("m")))
+    # the last windows of runs of matches may go on by less than a window
+    last = F.filter("m", lambda s, i: s["may_grow"] & (F.coalesce(F.get("m", i + 1)["pos"], F.lit(0)) != s["pos"] + 1))
+    grow = by_doc.select(F.inline(last)).select("hash", "check").distinct()
+    further = near.where(F.size("tail") > 0).join(stored(grow), ["hash", "check"], "left_semi")
 
+    def grown(_: Column, k: Column) -> Column:
+        more = F.slice("tail", 1, k + 1)
+        return F.struct((F.col("end") + k + 1).alias("end"), F.xxhash64("hash", more).alias("hash"), F.xxhash64("check", more).alias("check"))
 
-def united(stretches: Column) -> Column:
-    """(start, end) of sorted stretches (pos, end) united; ends exclusive, both from 0."""
+    extended = stored(further.select(*PLACE, "pos", F.inline(F.transform("tail", grown))))
+    more = later_ones(extended).groupBy(*PLACE).agg(F.collect_set(F.struct("pos", "end")).alias("more"))
+    covered = lambda c: F.flatten(F.transform(c, lambda s: F.sequence(s["pos"], s["end"])))
+    both = F.concat(covered("m"), F.when(F.col("more").isNotNull(), covered("more")).otherwise(F.array().cast("array<int>")))
+    return by_doc.join(more, PLACE, "left").select(*PLACE, F.sort_array(F.array_distinct(both)).alias("_line_dedup_at"))
 
-    def add(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        fresh = F.concat(acc, F.array(F.struct((s["pos"] - 1).alias("start"), s["end"].alias("end"))))
-        return F.when((F.size(acc) > 0) & (s["pos"] - 1 <= F.try_element_at(acc, F.lit(-1))["end"]), joined).otherwise(fresh)
 
-    return F.aggregate(stretches, F.array().cast("array<struct<start:int,end:int>>"), add)
+def runs_of(at: str, place: str) -> Column:
+    """(start, end) of the runs in sorted lines, as places among all lines: from 0, ends exclusive."""
+    starts = F.filter(at, lambda x, i: F.coalesce(F.get(at, i - 1), F.lit(-1)) != x - 1)
+    ends = F.filter(at, lambda x, i: F.coalesce(F.get(at, i + 1), F.lit(-1)) != x + 1)
+    return F.zip_with(starts, ends, lambda a, b: F.struct(F.get(place, a - 1).alias("start"), (F.get(place, b - 1) + 1).alias("end")))
 
 
-def dedup_passages(docs: DataFrame, *, least_words: int = LEAST_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with all repeats of least_words words or more cut out of text, and with n_lines and runs (start, end in lines) added."""
-    docs = docs.drop("n_lines", "runs", ROW_ID, ROW_KEY)
-    whole = docs.withColumn("text", text_or_empty()).withColumns({ROW_ID: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), ROW_KEY: F.xxhash64("text")})
-    found = passages(whole.select(ROW_ID, ROW_KEY, "text"), least_words)
-    by_doc = found.groupBy(ROW_ID, ROW_KEY).agg(F.array_sort(F.collect_set(F.struct("pos", "end"))).alias("_line_dedup_found"))
-    joined = whole.join(by_doc, [ROW_ID, ROW_KEY], "left").withColumn("_line_dedup_lines", lines_of(F.col("text")))
+    docs = docs.drop("n_lines", "runs", *PLACE)
+    whole = named_rows(docs)
+    found = stored(repeats(whole.select(*PLACE, "text"), least_words))
+    joined = whole.join(found, PLACE, "left").withColumn("_line_dedup_lines", F.when(F.col("_line_dedup_at").isNotNull(), lines_of(F.col("text"))))
     # places among the lines with words become places among all lines
     worded = F.filter(F.transform("_line_dedup_lines", lambda x, i: F.when(F.regexp_like(x, F.lit(r"\S")), i)), lambda i: i.isNotNull())
-    joined = joined.withColumn("_line_dedup_at", F.when(F.col("_line_dedup_found").isNotNull(), worded))
-    at = lambda k: F.element_at("_line_dedup_at", k)
-    placed = F.transform(united(F.col("_line_dedup_found")), lambda r: F.struct(at(r["start"] + 1).alias("start"), (at(r["end"]) + 1).alias("end")))
-    out = joined.withColumn("runs", F.coalesce(placed, F.array().cast("array<struct<start:int,end:int>>"))).withColumn("n_lines", F.size("_line_dedup_lines").cast("long"))
-    kept = F.array_join(F.filter("_line_dedup_lines", lambda x, i: ~F.exists("runs", lambda r: (r["start"] <= i) & (i < r["end"]))), "")
+    placed = joined.withColumn("_line_dedup_worded", worded)
+    placed = placed.withColumn("runs", F.coalesce(runs_of("_line_dedup_at", "_line_dedup_worded"), F.array().cast("array<struct<start:int,end:int>>")))
+    # what stands before each run, and after the last one
+    upto = lambda start, end: F.array_join(F.slice("_line_dedup_lines", start + 1, end - start), "")
+    before = F.transform("runs", lambda r, i: upto(F.coalesce(F.get("runs", i - 1)["end"], F.lit(0)), r["start"]))
+    after = upto(F.coalesce(F.get("runs", F.size("runs") - 1)["end"], F.lit(0)), F.size("_line_dedup_lines"))
+    kept = F.concat(F.array_join(before, ""), after)
+    out = placed.withColumn("n_lines", F.coalesce(F.size("_line_dedup_lines"), n_lines(F.col("text"))).cast("long"))
     return out.withColumn("text", F.when(F.size("runs") > 0, kept).otherwise(F.col("text"))).select(*docs.columns, "n_lines", "runs")
 
 

@@ -86,24 +86,28 @@ SQL: dict[str, str] = {
         WITH parts AS (
             SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split(regexp_replace(coalesce(text, ''), '(\n|[.!?] )', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS u
             FROM documents),
+        cut AS (SELECT doc_id, unnest(u) AS x, unnest(range(1, len(u) + 1)) AS i FROM parts),
+        counted AS (SELECT doc_id, i, trim(x, ' ' || chr(10) || chr(13) || chr(9)) AS x, len(regexp_extract_all(x, '[^ \t\n\x0B\f\r]+')) AS w FROM cut),
+        lines AS (
+            SELECT doc_id, i, x, row_number() OVER o AS k, sum(w) OVER o AS upto, sum(w) OVER o - w AS before
+            FROM counted WHERE w > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        wholes AS (SELECT doc_id, list(x ORDER BY k) AS xs, list(i ORDER BY k) AS place FROM lines GROUP BY doc_id),
+        -- stretches of 40 words or more that are shortest from their first line on, or up to their last one
         stretches AS (
-            SELECT doc_id, k, list_transform(u[k:k + 3], lambda x: trim(x, ' ' || chr(10) || chr(13) || chr(9))) AS s
-            FROM parts, unnest(range(1, len(u) - 2)) AS t(k) WHERE len(u) >= 4),
+            SELECT a.doc_id, a.k, b.k AS e FROM lines a ASOF JOIN lines b ON a.doc_id = b.doc_id AND a.before + 40 <= b.upto
+            UNION SELECT b.doc_id, a.k, b.k FROM lines b ASOF JOIN lines a ON a.doc_id = b.doc_id AND b.upto - 40 >= a.before),
         later AS (
-            SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY s ORDER BY doc_id, k) AS r FROM stretches) WHERE r > 1),
-        marked AS (SELECT DISTINCT doc_id, unnest(range(k, k + 4)) AS p FROM later),
+            SELECT doc_id, k, e FROM (SELECT doc_id, k, e, row_number() OVER (PARTITION BY xs[k:e] ORDER BY doc_id, k) AS r FROM stretches JOIN wholes USING (doc_id)) WHERE r > 1),
+        marked AS (SELECT DISTINCT doc_id, unnest(range(k, e + 1)) AS p FROM later),
         runs AS (
-            SELECT doc_id, min(p) AS a, max(p) AS b
-            FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM marked) GROUP BY doc_id, g),
-        long_runs AS (
-            SELECT r.doc_id, a, b FROM runs r JOIN parts USING (doc_id)
-            WHERE len(list_filter(regexp_split_to_array(array_to_string(u[a:b], ''), '\s+'), lambda w: w <> '')) >= 40),
-        cut AS (SELECT doc_id, list(DISTINCT p) AS ps, count(DISTINCT a) AS n_runs FROM (SELECT doc_id, a, unnest(range(a, b + 1)) AS p FROM long_runs) GROUP BY doc_id),
+            SELECT doc_id, place[min(p)] AS a, place[max(p)] AS b
+            FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM marked) JOIN wholes USING (doc_id) GROUP BY doc_id, g, place),
+        gone AS (SELECT doc_id, list(p) AS ps, count(DISTINCT a) AS n_runs FROM (SELECT doc_id, a, unnest(range(a, b + 1)) AS p FROM runs) GROUP BY doc_id),
         kept AS (
             SELECT p.doc_id, len(u) AS n_lines, coalesce(len(ps), 0) AS n_removed, coalesce(n_runs, 0) AS n_runs,
                 CASE WHEN ps IS NULL THEN text
                     ELSE array_to_string(list_filter(u, lambda x, i: NOT list_contains(ps, i)), '') END AS t
-            FROM parts p LEFT JOIN cut USING (doc_id))
+            FROM parts p LEFT JOIN gone USING (doc_id))
         SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_runs AS BIGINT) AS n_runs,
             CAST(length(t) AS BIGINT) AS kept_chars, sha256(t) AS kept_sha256
         FROM kept""",

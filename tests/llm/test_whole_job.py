@@ -24,7 +24,7 @@ def brute_passages(texts, least):
 
 
 def test_passages_of_any_number_of_lines(spark):
-    from lodestone.llm.line_dedup import dedup_passages
+    from lodestone.llm.line_dedup import dedup_lines
 
     rng = random.Random(3)
     pool = [" ".join(f"{w}{rng.randrange(99)}" for w in "abcdefghij"[: rng.randrange(1, 10)]) + rng.choice([". ", "\n", "! "]) for _ in range(12)]
@@ -33,7 +33,7 @@ def test_passages_of_any_number_of_lines(spark):
     texts += [one + "Own end one", "Another start. " + one + "other end", one + "Own end one", " ".join(f"v{k}" for k in range(45)), " ".join(f"v{k}" for k in range(45))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     for least in (12, 40):
-        got = {r.doc_id: r.text for r in dedup_passages(docs, least_words=least).collect()}
+        got = {r.doc_id: r.text for r in dedup_lines(docs, least_words=least).collect()}
         assert [got[k] for k in range(len(texts))] == brute_passages(texts, least)
     assert (got[26], got[29]) == ("Another start. other end", "")
 
