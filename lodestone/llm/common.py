@@ -86,7 +86,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def running_sums(values: Column, block: int = 256) -> Column:
+def running_sums(values: Column, block: int = 128) -> Column:
     """The sum before each element of an array of int; the work grows as the length, up to block ** 2 elements and beyond by its square over block ** 2."""
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / block).cast("int")), lambda k: F.slice(values, k * block + 1, block))
     sums = F.transform(blocks, lambda b: F.aggregate(b, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))))

@@ -10,9 +10,11 @@ selects. Two places that share least_words words in equal lines share a whole wi
 and so the fingerprint: that is the guarantee, be the passage one line or many.
 
 Positions are joined by fingerprint: those whose fingerprint one place alone selects are
-dropped, and at the others the windows around it are compared by two independent 64-bit
-hashes of their line hashes. The first of the equal places, in order of document and
-position, is the source; all later ones match it. Matches then grow line by line: to the
+dropped. Where all places of a fingerprint agree in all lines around it, those of its
+windows and those after them up to the end of the next one, all but the first place, in
+order of document and position, match it. Elsewhere its windows are compared one by one,
+and a window of which an equal one stands earlier is a match. Equal lines are told by two
+independent 64-bit hashes of their line hashes. Matches grow line by line: to the
 left a window that starts one line earlier is a match itself, and so is the next one to
 the right; what can lie beyond the last window of a match, the lines before the end of
 the window that does not match any more, is extended by hashes of the window and the
@@ -63,9 +65,19 @@ def n_lines(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(MARK)), F.size(lines_of(text))).otherwise(counted)
 
 
+def words_in(line: Column) -> Column:
+    """Words of a trimmed line: between single blanks they are counted by the blanks, else by pattern."""
+    odd = F.contains(line, F.lit("  "))
+    for space in "\t\x0b\f\r":
+        odd = odd | F.contains(line, F.lit(space))
+    blanks = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.when(line == "", 0).when(odd, F.regexp_count(line, F.lit(r"\S+"))).otherwise(blanks + 1)
+
+
 def windows(docs: DataFrame, least_words: int) -> DataFrame:
     """Key of the document, h: hashes of its lines with words, ends: for each line with a window, the window's last line (from 1)."""
-    each = docs.select(*PLACE, F.filter(F.transform(lines_of(F.col("text")), lambda x: F.struct(F.xxhash64(F.btrim(x, F.lit(SPACE))).alias("h"), F.regexp_count(x, F.lit(r"\S+")).alias("w"))), lambda s: s["w"] > 0).alias("s"))
+    trimmed = F.transform(lines_of(F.col("text")), lambda x: F.btrim(x, F.lit(SPACE)))
+    each = docs.select(*PLACE, F.filter(F.transform(trimmed, lambda x: F.struct(F.xxhash64(x).alias("h"), words_in(x).alias("w"))), lambda s: s["w"] > 0).alias("s"))
     split = each.select(*PLACE, F.col("s.h").alias("h"), F.col("s.w").alias("w"))
     # of_word: the line of every word; before: the words before every line
     summed = split.select(*PLACE, "h", F.flatten(F.transform("w", lambda x, k: F.array_repeat(k + 1, x))).alias("of_word"), running_sums(F.col("w")).alias("before"))
@@ -74,29 +86,38 @@ def windows(docs: DataFrame, least_words: int) -> DataFrame:
     return summed.select(*PLACE, "h", ends.alias("ends"))
 
 
-def selected(found: DataFrame) -> DataFrame:
-    """gram and a hash of its place, once for each place that a window selects."""
+def fingerprints(found: DataFrame) -> DataFrame:
+    """One row for each selected line: gram, at, the windows a to b that select it, the last line z before the end of the next window, two hashes of the lines a to z."""
 
     def pick(end: Column, k: Column) -> Column:
         window = F.slice("h", k + 1, end - k)
         return (k + F.array_position(window, F.array_min(window))).cast("int")
 
-    at = F.explode(F.array_distinct(F.transform("ends", pick))).alias("at")
-    return found.select(*PLACE, "h", at).select(F.get("h", F.col("at") - 1).alias("gram"), F.xxhash64(*PLACE, "at").alias("place"))
+    picked = found.select(*PLACE, "h", "ends", F.transform("ends", pick).alias("picks"))
+    # a line is selected by consecutive windows
+    begins = F.filter(F.transform("picks", lambda p, i: F.when(F.coalesce(F.get("picks", i - 1), F.lit(0)) != p, i + 1)), lambda i: i.isNotNull())
+    split = picked.select(*PLACE, "h", "ends", "picks", begins.alias("begins"))
+
+    def row(a: Column, j: Column) -> Column:
+        at, b = F.get("picks", a - 1), F.coalesce(F.get("begins", j + 1) - 1, F.size("picks"))
+        return F.struct(F.get("h", at - 1).alias("gram"), at.alias("at"), a.alias("a"), b.alias("b"), F.greatest(F.get("ends", b - 1), F.coalesce(F.get("ends", b), F.size("h") + 1) - 1).alias("z"))
+
+    rows = split.select(*PLACE, "h", F.inline(F.transform("begins", row)))
+    lines = F.slice("h", F.col("a"), F.col("z") - F.col("a") + 1)
+    return rows.select(*PLACE, "gram", "at", "a", "b", "z", F.xxhash64(lines).alias("hash"), F.xxhash64(F.lit(1), lines).alias("check"))
 
 
-def positions(found: DataFrame) -> DataFrame:
-    """Every window: gram, pos, end, two hashes, and the hashes of the lines between its end and the end of the next one (tail)."""
+def window_rows(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The windows a to b of wanted: pos, end, two hashes, and the hashes of the lines between its end and the end of the next one (tail)."""
 
-    def window(end: Column, k: Column) -> Column:
-        lines = F.slice("h", k + 1, end - k)
-        beyond = F.coalesce(F.get("ends", k + 1), F.size("h") + 1)
-        return F.struct(
-            F.array_min(lines).alias("gram"), (k + 1).alias("pos"), end.alias("end"), F.xxhash64(lines).alias("hash"), F.xxhash64(F.lit(1), lines).alias("check"),
-            F.slice("h", end + 1, F.greatest(beyond - end - 1, F.lit(0))).alias("tail"),
-        )
+    def window(k: Column) -> Column:
+        end, beyond = F.get("ends", k - 1), F.coalesce(F.get("ends", k), F.size("h") + 1)
+        lines = F.slice("h", k, end - k + 1)
+        return F.struct(k.alias("pos"), end.alias("end"), F.xxhash64(lines).alias("hash"), F.xxhash64(F.lit(1), lines).alias("check"), F.slice("h", end + 1, F.greatest(beyond - end - 1, F.lit(0))).alias("tail"))
 
-    return found.select(*PLACE, F.inline(F.transform("ends", window)))
+    by_doc = wanted.groupBy(*PLACE).agg(F.collect_set(F.struct("a", "b")).alias("wanted"))
+    starts = F.flatten(F.transform("wanted", lambda s: F.sequence(s["a"], s["b"])))
+    return found.join(stored(by_doc), PLACE).select(*PLACE, F.inline(F.transform(starts, window)))
 
 
 def later_ones(stretches: DataFrame) -> DataFrame:
@@ -110,14 +131,21 @@ def repeats(docs: DataFrame, least_words: int) -> DataFrame:
     """Key of the document and the sorted lines (from 1, of those with words) that are repeats."""
     # filtered when stored only: a filter would carry the sums below into each step of its lambda
     found = stored(windows(docs, least_words)).where(F.size("ends") > 0)
-    # a fingerprint that one place alone selects has no match
-    shared = selected(found).groupBy("gram").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low <> high").select("gram")
-    near = stored(positions(found).join(stored(shared), "gram", "left_semi").drop("gram"))
-    matched = later_ones(near).select(*PLACE, F.struct("pos", "end", (F.size("tail") > 0).alias("may_grow"), "hash", "check").alias("m"))
-    by_doc = stored(matched.groupBy(*PLACE).agg(F.array_sort(F.collect_set("m")).alias("m")))
+    rows = stored(fingerprints(found))
+    place = F.struct(*PLACE, "at")
+    of_gram = rows.groupBy("gram").agg(F.min(place).alias("source"), F.max(place).alias("last"), *(f(c).alias(f"{n}_{c}") for c in ("hash", "check") for n, f in (("min", F.min), ("max", F.max))))
+    # a fingerprint that one place alone selects has no match; where its places agree in all lines around it, all but the first go
+    mixed = (F.col("min_hash") != F.col("max_hash")) | (F.col("min_check") != F.col("max_check"))
+    shared = stored(of_gram.where("source <> last").select("gram", "source", mixed.alias("mixed")))
+    joined = stored(rows.join(shared, "gram").where(F.col("mixed") | (place != F.col("source"))).select(*PLACE, "a", "b", "z", "mixed"))
+    agreed = joined.where(~F.col("mixed")).select(*PLACE, F.col("a").alias("pos"), F.col("z").alias("end"))
+    # where they differ, window by window
+    near = stored(window_rows(found, joined.where("mixed")))
+    matched = stored(later_ones(near).select(*PLACE, "pos", "end", (F.size("tail") > 0).alias("may_grow"), "hash", "check"))
+    by_doc = matched.groupBy(*PLACE).agg(F.array_sort(F.collect_set(F.struct("pos", "may_grow", "hash", "check"))).alias("m"))
     # the last windows of runs of matches may go on by less than a window
     last = F.filter("m", lambda s, i: s["may_grow"] & (F.coalesce(F.get("m", i + 1)["pos"], F.lit(0)) != s["pos"] + 1))
-    grow = by_doc.select(F.inline(last)).select("hash", "check").distinct()
+    grow = stored(by_doc).select(F.inline(last)).select("hash", "check").distinct()
     further = near.where(F.size("tail") > 0).join(stored(grow), ["hash", "check"], "left_semi")
 
     def grown(_: Column, k: Column) -> Column:
@@ -125,10 +153,10 @@ def repeats(docs: DataFrame, least_words: int) -> DataFrame:
         return F.struct((F.col("end") + k + 1).alias("end"), F.xxhash64("hash", more).alias("hash"), F.xxhash64("check", more).alias("check"))
 
     extended = stored(further.select(*PLACE, "pos", F.inline(F.transform("tail", grown))))
-    more = later_ones(extended).groupBy(*PLACE).agg(F.collect_set(F.struct("pos", "end")).alias("more"))
-    covered = lambda c: F.flatten(F.transform(c, lambda s: F.sequence(s["pos"], s["end"])))
-    both = F.concat(covered("m"), F.when(F.col("more").isNotNull(), covered("more")).otherwise(F.array().cast("array<int>")))
-    return by_doc.join(more, PLACE, "left").select(*PLACE, F.sort_array(F.array_distinct(both)).alias("_line_dedup_at"))
+    more = later_ones(extended).select(*PLACE, "pos", "end")
+    every = agreed.unionByName(matched.select(*PLACE, "pos", "end")).unionByName(more)
+    covered = F.flatten(F.transform(F.collect_set(F.struct("pos", "end")), lambda s: F.sequence(s["pos"], s["end"])))
+    return every.groupBy(*PLACE).agg(F.sort_array(F.array_distinct(covered)).alias("_line_dedup_at"))
 
 
 def runs_of(at: str, place: str) -> Column:
@@ -143,7 +171,7 @@ def dedup_lines(docs: DataFrame, *, least_words: int = LEAST_WORDS) -> DataFrame
     docs = docs.drop("n_lines", "runs", *PLACE)
     whole = named_rows(docs)
     found = stored(repeats(whole.select(*PLACE, "text"), least_words))
-    joined = whole.join(found, PLACE, "left").withColumn("_line_dedup_lines", F.when(F.col("_line_dedup_at").isNotNull(), lines_of(F.col("text"))))
+    joined = whole.join(found.hint("shuffle_hash"), PLACE, "left").withColumn("_line_dedup_lines", F.when(F.col("_line_dedup_at").isNotNull(), lines_of(F.col("text"))))
     # places among the lines with words become places among all lines
     worded = F.filter(F.transform("_line_dedup_lines", lambda x, i: F.when(F.regexp_like(x, F.lit(r"\S")), i)), lambda i: i.isNotNull())
     placed = joined.withColumn("_line_dedup_worded", worded)
