@@ -86,12 +86,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def running_sums(values: Column, block: int = 128) -> Column:
-    """The sum before each element of an array of int; the work grows as the length, up to block ** 2 elements and beyond by its square over block ** 2."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / block).cast("int")), lambda k: F.slice(values, k * block + 1, block))
-    sums = F.transform(blocks, lambda b: F.aggregate(b, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))))
-    offsets = lambda s: F.aggregate(s, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.element_at(p, -1))))
-    placed = lambda s: F.flatten(F.zip_with(s, F.slice(offsets(s), 1, F.size(s)), lambda p, o: F.transform(F.slice(p, 1, F.size(p) - 1), lambda x: x + o)))
+def running_sums(values: Column, blocks: tuple[int, ...] = (16, 128)) -> Column:
+    """The sum before each element of an array of int. Sums of short blocks come first, those before each block after them, by blocks of blocks."""
+    block, *rest = blocks
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / block).cast("int")), lambda k: F.slice(values, k * block + 1, block))
+    sums = F.transform(pieces, lambda b: F.aggregate(b, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))))
+
+    def placed(s: Column) -> Column:
+        totals = F.transform(s, lambda p: F.element_at(p, -1))
+        before = running_sums(totals, tuple(rest)) if rest else F.slice(F.aggregate(totals, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))), 1, F.size(s))
+        return F.flatten(F.zip_with(s, before, lambda p, o: F.transform(F.slice(p, 1, F.size(p) - 1), lambda x: x + o)))
+
     # s is an element here, so that it is computed once
     return F.element_at(F.transform(F.array(sums), placed), 1)
 

@@ -9,11 +9,11 @@ and the least line hash in it (of equal ones the first) is the fingerprint that
 selects. Two places that share least_words words in equal lines share a whole window,
 and so the fingerprint: that is the guarantee, be the passage one line or many.
 
-Positions are joined by fingerprint: those whose fingerprint one place alone selects are
-dropped. Where all places of a fingerprint agree in all lines around it, those of its
-windows and those after them up to the end of the next one, all but the first place, in
-order of document and position, match it. Elsewhere its windows are compared one by one,
-and a window of which an equal one stands earlier is a match. Equal lines are told by two
+Positions are joined by fingerprint. Of those that agree in all lines around it, those of
+its windows and those after them up to the end of the next one, all but the first, in
+order of document and position, match the first. The first ones of a fingerprint that
+differ in such lines are compared window by window, and a window of which an equal one
+stands earlier is a match; fingerprints with lines of one kind alone have no more. Equal lines are told by two
 independent 64-bit hashes of their line hashes. Matches grow line by line: to the
 left a window that starts one line earlier is a match itself, and so is the next one to
 the right; what can lie beyond the last window of a match, the lines before the end of
@@ -65,19 +65,24 @@ def n_lines(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(MARK)), F.size(lines_of(text))).otherwise(counted)
 
 
-def words_in(line: Column) -> Column:
-    """Words of a trimmed line: between single blanks they are counted by the blanks, else by pattern."""
-    odd = F.contains(line, F.lit("  "))
+def by_blanks(line: Column) -> Column:
+    """Words of a trimmed line in which single blanks alone stand between words."""
+    return F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+
+
+def hashed_lines(text: Column) -> Column:
+    """(h, w): hash and words of each line that has words."""
+    odd = F.contains(text, F.lit("  "))
     for space in "\t\x0b\f\r":
-        odd = odd | F.contains(line, F.lit(space))
-    blanks = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
-    return F.when(line == "", 0).when(odd, F.regexp_count(line, F.lit(r"\S+"))).otherwise(blanks + 1)
+        odd = odd | F.contains(text, F.lit(space))
+    trimmed = F.transform(lines_of(text), lambda x: F.btrim(x, F.lit(SPACE)))
+    of = lambda count: F.transform(trimmed, lambda x: F.struct(F.xxhash64(x).alias("h"), count(x).alias("w")))
+    return F.filter(F.when(odd, of(lambda x: F.regexp_count(x, F.lit(r"\S+")))).otherwise(of(by_blanks)), lambda s: s["w"] > 0)
 
 
 def windows(docs: DataFrame, least_words: int) -> DataFrame:
     """Key of the document, h: hashes of its lines with words, ends: for each line with a window, the window's last line (from 1)."""
-    trimmed = F.transform(lines_of(F.col("text")), lambda x: F.btrim(x, F.lit(SPACE)))
-    each = docs.select(*PLACE, F.filter(F.transform(trimmed, lambda x: F.struct(F.xxhash64(x).alias("h"), words_in(x).alias("w"))), lambda s: s["w"] > 0).alias("s"))
+    each = docs.select(*PLACE, hashed_lines(F.col("text")).alias("s"))
     split = each.select(*PLACE, F.col("s.h").alias("h"), F.col("s.w").alias("w"))
     # of_word: the line of every word; before: the words before every line
     summed = split.select(*PLACE, "h", F.flatten(F.transform("w", lambda x, k: F.array_repeat(k + 1, x))).alias("of_word"), running_sums(F.col("w")).alias("before"))
@@ -89,11 +94,9 @@ def windows(docs: DataFrame, least_words: int) -> DataFrame:
 def fingerprints(found: DataFrame) -> DataFrame:
     """One row for each selected line: gram, at, the windows a to b that select it, the last line z before the end of the next window, two hashes of the lines a to z."""
 
-    def pick(end: Column, k: Column) -> Column:
-        window = F.slice("h", k + 1, end - k)
-        return (k + F.array_position(window, F.array_min(window))).cast("int")
-
-    picked = found.select(*PLACE, "h", "ends", F.transform("ends", pick).alias("picks"))
+    lines = F.transform("ends", lambda end, k: F.slice("h", k + 1, end - k))
+    picks = F.transform(lines, lambda window, k: (k + F.array_position(window, F.array_min(window))).cast("int"))
+    picked = found.select(*PLACE, "h", "ends", picks.alias("picks"))
     # a line is selected by consecutive windows
     begins = F.filter(F.transform("picks", lambda p, i: F.when(F.coalesce(F.get("picks", i - 1), F.lit(0)) != p, i + 1)), lambda i: i.isNotNull())
     split = picked.select(*PLACE, "h", "ends", "picks", begins.alias("begins"))
@@ -133,14 +136,14 @@ def repeats(docs: DataFrame, least_words: int) -> DataFrame:
     found = stored(windows(docs, least_words)).where(F.size("ends") > 0)
     rows = stored(fingerprints(found))
     place = F.struct(*PLACE, "at")
-    of_gram = rows.groupBy("gram").agg(F.min(place).alias("source"), F.max(place).alias("last"), *(f(c).alias(f"{n}_{c}") for c in ("hash", "check") for n, f in (("min", F.min), ("max", F.max))))
-    # a fingerprint that one place alone selects has no match; where its places agree in all lines around it, all but the first go
-    mixed = (F.col("min_hash") != F.col("max_hash")) | (F.col("min_check") != F.col("max_check"))
-    shared = stored(of_gram.where("source <> last").select("gram", "source", mixed.alias("mixed")))
-    joined = stored(rows.join(shared, "gram").where(F.col("mixed") | (place != F.col("source"))).select(*PLACE, "a", "b", "z", "mixed"))
-    agreed = joined.where(~F.col("mixed")).select(*PLACE, F.col("a").alias("pos"), F.col("z").alias("end"))
-    # where they differ, window by window
-    near = stored(window_rows(found, joined.where("mixed")))
+    # places that agree in all lines around their fingerprint: all but the first match it
+    around = rows.groupBy("hash", "check").agg(F.min(F.struct(*PLACE, "at", "a", "b")).alias("first"), F.max(place).alias("last"), F.min("gram").alias("gram"))
+    around = stored(around.select("hash", "check", "gram", "first", (F.struct("first._row_id", "first._row_key", "first.at") < F.col("last")).alias("again")))
+    sources = stored(around.where("again").select("hash", "check", F.struct("first._row_id", "first._row_key", "first.at").alias("source")))
+    agreed = rows.join(sources, ["hash", "check"]).where(place != F.col("source")).select(*PLACE, F.col("a").alias("pos"), F.col("z").alias("end"))
+    # where places differ in lines around the same fingerprint, the first of each kind is compared window by window
+    mixed = stored(around.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
+    near = stored(window_rows(found, around.join(mixed, "gram", "left_semi").select("first.*")))
     matched = stored(later_ones(near).select(*PLACE, "pos", "end", (F.size("tail") > 0).alias("may_grow"), "hash", "check"))
     by_doc = matched.groupBy(*PLACE).agg(F.array_sort(F.collect_set(F.struct("pos", "may_grow", "hash", "check"))).alias("m"))
     # the last windows of runs of matches may go on by less than a window
