@@ -6,6 +6,7 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,7 +75,7 @@ def stored(df: DataFrame) -> DataFrame:
     """df written as a table to the shared folder and read again: lineage ends here."""
     spark = df.sparkSession
     folder = f"{own_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.option("compression", "none").parquet(folder)  # hashes hardly shrink, and ids are packed without it
     return spark.read.schema(df.schema).parquet(folder)
 
 
@@ -86,19 +87,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often and in whatever lambdas it stands there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def running_sums(values: Column, blocks: tuple[int, ...] = (16, 128)) -> Column:
     """The sum before each element of an array of int. Sums of short blocks come first, those before each block after them, by blocks of blocks."""
     block, *rest = blocks
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / block).cast("int")), lambda k: F.slice(values, k * block + 1, block))
-    sums = F.transform(pieces, lambda b: F.aggregate(b, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))))
+
+    def summed(v: Column) -> Column:
+        return F.aggregate(v, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    def pieces(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(v), F.lit(1)) - 1) / block).cast("int")), lambda k: summed(F.slice(v, k * block + 1, block)))
 
     def placed(s: Column) -> Column:
         totals = F.transform(s, lambda p: F.element_at(p, -1))
-        before = running_sums(totals, tuple(rest)) if rest else F.slice(F.aggregate(totals, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))), 1, F.size(s))
-        return F.flatten(F.zip_with(s, before, lambda p, o: F.transform(F.slice(p, 1, F.size(p) - 1), lambda x: x + o)))
+        before = running_sums(totals, tuple(rest)) if rest else summed(totals)
+        return F.flatten(F.zip_with(s, F.slice(before, 1, F.size(s)), lambda p, o: F.transform(F.slice(p, 1, F.size(p) - 1), lambda x: x + o)))
 
-    # s is an element here, so that it is computed once
-    return F.element_at(F.transform(F.array(sums), placed), 1)
+    return once(values, lambda v: once(pieces(v), placed))
 
 
 def arrow_rows(spark: SparkSession, n: int) -> None:
