@@ -6,14 +6,17 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROW_ID, ROW_KEY = "_row_id", "_row_key"
-#: Whole texts in a batch to Python.
-TEXT_ROWS = 1024
+#: Bytes in a batch to Python, and bytes and rows of text that Python holds as objects at once.
+BATCH_BYTES, PART_BYTES, PART_ROWS = 4 << 20, 1 << 20, 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,9 +113,20 @@ def running_sums(values: Column, blocks: tuple[int, ...] = (16, 128)) -> Column:
     return once(values, lambda v: once(pieces(v), placed))
 
 
-def arrow_rows(spark: SparkSession, n: int) -> None:
-    """Rows in a batch to Python from here on: few for whole texts, many for rows of numbers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+def byte_batches(spark: SparkSession) -> None:
+    """Bounds batches to Python by bytes: the same for all operators, so whatever plan is run last."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def parts(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with PART_BYTES bytes or less in column at, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PART_BYTES, side="right")))
+        stop = min(stop, start + PART_ROWS)
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def worker_state() -> types.ModuleType:

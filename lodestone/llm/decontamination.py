@@ -27,11 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_ROWS, arrow_rows, text_or_empty
+from .common import byte_batches, parts, text_or_empty
 
 WINDOW_WORDS = 10
 BLOCK_WINDOWS = 200_000
-SLICE_ROWS = 512
 #: The characters that words are made of.
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SQL_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -120,8 +119,7 @@ def scan(docs: DataFrame, windows: list[tuple[list[str], list[str]]], *, cut_spa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pa.struct([("start", pa.int32()), ("end", pa.int32())])
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(at, SLICE_ROWS)
+            for batch in parts(whole, at_text):
                 sizes, runs, items, texts = [], [], [], batch.column(at_text).to_pylist()
                 for text in texts:
                     words = words_of(text or "")
@@ -148,7 +146,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window_words: int =
     The columns n_words, runs and items of docs itself, if there are any, are replaced.
     """
     docs = docs.drop("n_words", "runs", "items")
-    arrow_rows(docs.sparkSession, TEXT_ROWS)
+    byte_batches(docs.sparkSession)
     windows = benchmark_windows(benchmark, window_words).groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("owners"))
     n = windows.count()
     if n <= block_windows:

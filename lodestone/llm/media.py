@@ -29,11 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_ROWS, arrow_rows, text_or_empty, worker_state
+from .common import byte_batches, parts, text_or_empty, worker_state
 
 UNIT, ROW_PIXELS = 192, 64
 UNKNOWN = "application/octet-stream"
-SLICE_ROWS = 256
 
 # Magic bytes and the media types they stand for.
 SIGNATURES = {
@@ -216,8 +215,7 @@ def sniff_media(media: DataFrame, *, column: str = "media", declared: str = "dec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("parent", pa.int64())]))
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(at, SLICE_ROWS)
+            for batch in parts(whole, whole.schema.get_field_index(column)):
                 types, corrected, embedded = [], [], []
                 for data, said in zip(batch.column(column).to_pylist(), batch.column(declared).to_pylist(), strict=True):
                     found = carve(data or b"")
@@ -285,8 +283,7 @@ def texts_to_media(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(at, SLICE_ROWS)
+            for batch in parts(whole, 1):
                 sizes, media = [], []
                 for text in batch.column(1).to_pylist():
                     raw = text.encode()
@@ -298,7 +295,7 @@ def texts_to_media(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "n_bytes", "media", "declared_type"],
                 )
 
-    arrow_rows(docs.sparkSession, TEXT_ROWS)
+    byte_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary, declared_type string")
 
@@ -310,9 +307,9 @@ def media_digest(sniffed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = {kind: back for kind, _, back in FORMS}
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_ROWS):
+            for part in parts(whole, whole.schema.get_field_index("media")):
                 out = []
-                for row in whole.slice(at, SLICE_ROWS).to_pylist():
+                for row in part.to_pylist():
                     media = row["media"]
                     payload = read[row["true_type"]](media)
                     kinds = sorted(e["type"] for e in row["embedded"])

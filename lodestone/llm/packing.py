@@ -1,8 +1,8 @@
 """Packing of token ids into sequences: first-fit decreasing over a tournament tree.
 
 Every document becomes its ids and an end id, cut into pieces of at most max_tokens.
-Pieces are dealt to random groups of about group_docs documents by a hash; in each group
-they are placed by decreasing length into the first sequence with room, which a
+Documents are dealt to random groups of about group_docs by a hash of doc_id and ids; in
+each group their pieces are placed by decreasing length into the first sequence with room, which a
 tournament tree over the sequences' free space finds in logarithmic time.
 
 Edge cases: a null or empty text is the end id alone; rows that repeat are packed row by
@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_ROWS, arrow_rows, text_or_empty
-from .token_counts import CHUNK_CHARS, MAX_TOKENS, SLICE_ROWS, spliced
+from .common import byte_batches, parts, text_or_empty
+from .token_counts import CHUNK_CHARS, MAX_TOKENS, spliced
 from .wordbpe import word_bpe
 
 END_ID = 1
 GROUP_DOCS = 2048
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+DEALT = PIECE + ", doc_crc32 long"
 
 
 class TournamentTree:
@@ -67,22 +68,21 @@ def pieces(docs: DataFrame, vocabulary: str, max_tokens: int) -> DataFrame:
         encoder, end = word_bpe(vocabulary), np.array([END_ID], "<u4").tobytes()
         step = 4 * max_tokens
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for part in parts(batch, 1):
                 out: list[tuple] = []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     ids = (encoder.ids(text) if len(text) <= CHUNK_CHARS else b"".join(spliced(encoder, text))) + end
-                    total = len(ids) // 4
+                    total, crc = len(ids) // 4, zlib.crc32(ids)
                     for k in range(0, len(ids), step):
                         piece = ids[k : k + step]
-                        out.append((doc_id, k // 4, len(piece) // 4, zlib.crc32(piece), total))
+                        out.append((doc_id, k // 4, len(piece) // 4, zlib.crc32(piece), total, crc))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+                    [pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "doc_crc32"]
                 )
 
-    arrow_rows(docs.sparkSession, TEXT_ROWS)
+    byte_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, PIECE)
+    return rows.mapInArrow(run, DEALT)
 
 
 def pack(docs: DataFrame, vocabulary: str, *, max_tokens: int = MAX_TOKENS, group_docs: int = GROUP_DOCS) -> DataFrame:
@@ -95,9 +95,9 @@ def pack(docs: DataFrame, vocabulary: str, *, max_tokens: int = MAX_TOKENS, grou
         first = int(group["pack_group"].iloc[0]) << 32
         group["sequence_id"] = [first + k for k, _ in placed]
         group["offset"] = [offset for _, offset in placed]
-        return group.drop(columns="pack_group")
+        return group.drop(columns=["pack_group", "doc_crc32"])
 
-    dealt = pieces(docs, vocabulary, max_tokens).withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    dealt = pieces(docs, vocabulary, max_tokens).withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "doc_crc32"), F.lit(groups)))
     null_id = F.lit(-(2**63))
     out = dealt.withColumn("doc_id", F.coalesce("doc_id", null_id)).groupBy("pack_group").applyInPandas(place, PIECE + ", sequence_id long, offset long")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != null_id, F.col("doc_id")))

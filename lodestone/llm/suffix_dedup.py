@@ -34,14 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_ID, ROW_KEY, arrow_rows, keyed
+from .common import ROW_ID, ROW_KEY, byte_batches, keyed, parts
 from .shingles import STEP, mixed, powers
 from .suffix_array import suffix_array
 
 LENGTH, GRAM = 200, 8
 MANY_ANCHORS = 2_000
 L_SPLIT = 10
-SLICE_ROWS = 256
 PART_ANCHORS = 20_000
 LOW = np.uint64((1 << 40) - 1)
 SALT = np.uint64(0xA0761D6478BD642F)
@@ -105,8 +104,7 @@ def anchor_keys(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_ROWS):
-                part = whole.slice(at, SLICE_ROWS)
+            for part in parts(whole, 2):
                 texts = [t.encode() for t in part.column(2).to_pylist()]
                 bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
                 buf = b"".join(texts)
@@ -184,8 +182,8 @@ def surroundings(docs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
 
         seen: dict[int, int] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                ids, keys, key, anchor, low, high, whole, before, after = of_slice(batch.slice(at, SLICE_ROWS))
+            for part in parts(batch, 2):
+                ids, keys, key, anchor, low, high, whole, before, after = of_slice(part)
                 if len(seen) > 1_000_000:
                     seen = {}
                 # the first two that agree in all go on and find each other; the rest are settled
@@ -294,7 +292,7 @@ def repeated_spans(around: DataFrame, length: int) -> DataFrame:
 def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, many_anchors: int = MANY_ANCHORS) -> DataFrame:
     """_row_id, _row_key, text and spans (start, end of merged repeated runs, in bytes) of every row of docs."""
     rows = keyed(docs)
-    arrow_rows(docs.sparkSession, 10_000)
+    byte_batches(docs.sparkSession)
     anchors = shared_keys(anchor_keys(rows, length), many_anchors)
     spans = repeated_spans(surroundings(rows, anchors, length), length)
     by_doc = spans.groupBy(*PLACE).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
@@ -320,8 +318,8 @@ def suffix_digest(found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_ROWS):
-                batch, out = whole.slice(at, SLICE_ROWS), []
+            for batch in parts(whole, 1):
+                out = []
                 for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     raw = text.encode()
                     kept, runs = kept_bytes(raw, spans)

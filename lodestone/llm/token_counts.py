@@ -22,13 +22,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_ROWS, arrow_rows, text_or_empty
+from .common import byte_batches, parts, text_or_empty
 from .wordbpe import WordBpe, word_bpe
 
 CHUNK_CHARS, OVERLAP_CHARS = 1 << 16, 256
 MAX_TOKENS = 2048
-#: Rows held as Python strings at once.
-SLICE_ROWS = 512
 
 
 def common_boundary(text: str, left: np.ndarray, right: np.ndarray, low: int, high: int) -> int | None:
@@ -83,14 +81,14 @@ def token_counts(
         encoder: WordBpe = word_bpe(vocabulary)
         for batch in batches:
             n = []
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                n += [count_tokens(encoder, t, chunk_chars, overlap_chars) for t in batch.column(1).slice(at, SLICE_ROWS).to_pylist()]
+            for part in parts(batch, 1):
+                n += [count_tokens(encoder, t, chunk_chars, overlap_chars) for t in part.column(1).to_pylist()]
             size = pc.cast(pc.binary_length(batch.column(1)), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), size, pa.array(n, pa.int64()), pa.array([x > max_tokens for x in n], pa.bool_())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    arrow_rows(docs.sparkSession, TEXT_ROWS)
+    byte_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

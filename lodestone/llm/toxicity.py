@@ -26,13 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_ROWS, arrow_rows, text_or_empty
+from .common import byte_batches, parts, text_or_empty
 
 SAMPLE_ROWS = 40_000
 LEXICON_WORDS = 5_000
 LEXICON_LEAST_DOCS, LEXICON_LEAST_ODDS = 4, 1.5
 FOLDS = 5
-SLICE_ROWS = 512
 MEMO_WORDS = 150_000
 NEAR_WORDS = 5
 
@@ -205,8 +204,7 @@ class Model:
         if self.trees is None:
             return np.full(len(x), self.constant)
         margin = self.trees.margin(x)
-        # the raw probability weighs a hundredth, to rank within a calibrated step
-        return 0.99 * np.interp(margin, *self.knots) + 0.01 / (1 + np.exp(-margin))
+        return np.interp(margin, *self.knots)
 
 
 def feature_rows(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
@@ -231,7 +229,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample_ro
     # at most sample_rows pairs of numbers, which bounds the broadcast
     picked = F.broadcast(spark.createDataFrame(ids, "doc_id long, label int"))
     part = (F.pmod(F.xxhash64(F.lit("part"), F.col("doc_id")), F.lit(6)) / 2).cast("int")
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(picked, "doc_id").select(part.alias("part"), "label", "text")
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(picked, "doc_id")
+    # of rows that share a doc_id one text is learnt from, so the sample stays within its bound
+    sample = sample.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select(part.alias("part"), "label", "text")
 
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
     named = F.flatten(F.transform(words, lambda w: F.array(w, *(F.when(F.length(w) > n, F.concat(F.substring(w, 1, n), F.lit("*"))) for n in (3, 4, 5)))))
@@ -258,15 +258,14 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample_ro
 def score(docs: DataFrame, model: Model, *, threshold: float = 0.5) -> DataFrame:
     """docs with score and predicted added; columns of docs with these names are replaced."""
     docs = docs.drop("score", "predicted")
-    arrow_rows(docs.sparkSession, TEXT_ROWS)
+    byte_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at_text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes(shared.value.lexicon)
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(at, SLICE_ROWS)
+            for batch in parts(whole, at_text):
                 x = np.array([features(t or "", codes) for t in batch.column(at_text).to_pylist()]).reshape(-1, N_FEATURES)
                 p = shared.value.scores(x)
                 yield pa.RecordBatch.from_arrays(

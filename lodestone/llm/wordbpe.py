@@ -21,7 +21,7 @@ UNSAFE = regex.compile(r"[^\t\n\r\x20-\x7e¡-¬®-įı-ɏ]")
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SPECIAL = "<|"
 #: Words kept by a worker; its memory starts anew beyond that.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 
 
 def byte_letters() -> list[str]:
