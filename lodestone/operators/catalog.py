@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.retrieval import placed
+
 # The columns of the catalog's tables.
 SNAPSHOTS = "snapshot_id long, version long, parent_id long, created_at double, description string, files_added long, files_removed long"
 FILES = "snapshot_id long, file_path string, doc_count long, centroid array<double>, radius double, created_at double, batch_id string, is_active boolean"
@@ -69,9 +71,8 @@ def version_diff(a: DataFrame, b: DataFrame, key: str = "file_path") -> DataFram
 
 def compaction_plan(files: DataFrame, min_files: int = MIN_FILES, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """Oldest files that together stay within the target; the first always, none if fewer than two."""
-    order = Window.partitionBy(F.lit(0)).orderBy("created_at", "file_path")
-    sized = files.withColumn("bytes", F.col("doc_count") * BYTES_PER_DOC)
-    run = sized.withColumns({"_sum": F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)), "seq": F.row_number().over(order).cast("bigint")})
+    sized = files.withColumns({"bytes": F.col("doc_count") * BYTES_PER_DOC, "qid": F.lit(0)})
+    run = placed(sized, "created_at", "file_path", total="bytes").withColumnsRenamed({"place": "seq", "total": "_sum"})
     taken = run.where((F.col("seq") == 1) | (F.col("_sum") <= target_bytes))
     all_n = files.agg(F.count(F.lit(1)).alias("n")).scalar()
     n = taken.agg(F.count(F.lit(1)).alias("n")).scalar()

@@ -43,9 +43,10 @@ def extract_features(candidates: DataFrame, docs: DataFrame, queries: DataFrame,
     n = stats.select("total_docs").scalar()
     words = queries.select("qid", F.posexplode("tokens").alias("pos", "term")).join(term_df, "term", "left").withColumn("idf", idf(n, F.coalesce("df", F.lit(0))))
     weights = words.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "idf"))), lambda s: s["idf"]).alias("idfs"))
-    rows = candidates.join(queries, "qid").join(weights, "qid", "left").join(docs.select("doc_id", F.lower("text").alias("text")), "doc_id", "left")
+    most_of = candidates.groupBy("qid").agg(F.max("bm25").alias("max_bm25"))
+    rows = candidates.join(queries, "qid").join(most_of, "qid").join(weights, "qid", "left").join(docs.select("doc_id", F.lower("text").alias("text")), "doc_id", "left")
     rows = rows.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("idfs", F.coalesce("idfs", F.array().cast("array<double>")))
-    rows = rows.withColumn("words", F.filter(F.split("text", r"\s+"), lambda w: w != "")).withColumn("max_bm25", F.max("bm25").over(Window.partitionBy("qid")))
+    rows = rows.withColumn("words", F.filter(F.split("text", r"\s+"), lambda w: w != ""))
     rows = rows.withColumn("tfs", F.transform("tokens", lambda t: F.size(F.filter("words", lambda w: w == t)).cast("double")))
     rows = rows.withColumn("tfidfs", F.zip_with("tfs", "idfs", lambda a, b: a * b))
     rows = rows.withColumn("places", F.transform(F.filter("tokens", lambda t: F.array_contains("words", t)), lambda t: F.array_position("words", t) - 1))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.scoring import B, K1, TITLE_BOOST, bm25_weight, fixed_point, idf, tfidf_weight, title_weight
 from lodestone.functions.text import parse_query
+from lodestone.sources.shared import stored
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -16,7 +17,9 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def matched(terms: DataFrame, posted: DataFrame) -> DataFrame:
-    """Postings of the query terms with df; df counts all documents, whoever asks."""
+    """Postings of the query terms with df; df counts all documents, whoever asks. Stored postings have it with them."""
+    if "df" in posted.columns:
+        return terms.join(posted, "term")
     hit = posted.join(terms.select("term").distinct(), "term", "left_semi")
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return terms.join(df, "term").join(hit, "term")
@@ -77,12 +80,29 @@ def ranked(scores: DataFrame, k: int | None = None, *ties: Column | str, by: Col
     """scores with score_fp and rank (from 1), of each query the first k.
 
     Order: fixed-point score, then ties, then doc_id; the window is cut to k before the
-    shuffle's rows are all sorted.
+    shuffle's rows are all sorted. Without k all rows get their rank, by ranges.
     """
     out = scores.withColumn("score_fp", fixed_point(F.col("score")))
+    if k is None:
+        return placed(out, F.desc(by if by is not None else F.col("score_fp")), *ties, "doc_id").withColumnRenamed("place", "rank")
     w = Window.partitionBy("qid").orderBy(F.desc(by if by is not None else F.col("score_fp")), *ties, "doc_id")
     out = out.withColumn("rank", F.row_number().over(w).cast("bigint"))
-    return out if k is None else out.where(F.col("rank") <= k)
+    return out.where(F.col("rank") <= k)
+
+
+def placed(rows: DataFrame, *order: Column | str, total: str | None = None) -> DataFrame:
+    """rows with their place (from 1) of each qid, and the running sum of a column as total if one is named. No task holds all rows: they are dealt by range, and the sizes of the ranges before are added."""
+    dealt = stored(rows.repartitionByRange("qid", *order).withColumn("_range", F.spark_partition_id()))
+    amount = F.coalesce(F.col(total), F.lit(0)) if total else F.lit(0)
+    sizes = dealt.groupBy("qid", "_range").agg(F.count(F.lit(1)).alias("_n"), F.sum(amount).alias("_sum"))
+    upto = Window.partitionBy("qid").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(F.col("qid").alias("_qid"), F.col("_range").alias("_of"), *(F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(n) for c, n in (("_n", "_before"), ("_sum", "_base"))))
+    inside = Window.partitionBy("qid", "_range").orderBy(*order)
+    joined = dealt.join(before, F.col("qid").eqNullSafe(F.col("_qid")) & (F.col("_range") == F.col("_of")))
+    out = joined.withColumn("place", (F.col("_before") + F.row_number().over(inside)).cast("bigint"))
+    if total:
+        out = out.withColumn("total", F.col("_base") + F.sum(amount).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    return out.drop("_qid", "_of", "_range", "_before", "_base")
 
 
 def bm25_ranked(scores: DataFrame, k: int | None = None) -> DataFrame:

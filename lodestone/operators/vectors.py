@@ -137,11 +137,21 @@ def embed_text(c: Column | str, dim: int = 384, model: Callable[[pd.Series, int]
     return run(c)
 
 
+# Above so many vectors a kind of index is taken.
+GPU_LEAST, IVF_LEAST, HNSW_LEAST = 100_000, 500_000, 10_000
+
+
 def select_index(n_vectors: int, *, has_gpu: bool = False) -> str:
     """Kind of index by number of vectors."""
-    if has_gpu and n_vectors > 100_000:
+    if has_gpu and n_vectors > GPU_LEAST:
         return "gpu_ivf_pq"
-    return "ivf_pq" if n_vectors > 500_000 else "hnsw" if n_vectors > 10_000 else "flat"
+    return "ivf_pq" if n_vectors > IVF_LEAST else "hnsw" if n_vectors > HNSW_LEAST else "flat"
+
+
+def index_kind(n: Column, has_gpu: bool = False) -> Column:
+    """select_index as an expression over counts."""
+    plain = F.when(n > IVF_LEAST, "ivf_pq").when(n > HNSW_LEAST, "hnsw").otherwise("flat")
+    return F.when((n > GPU_LEAST) & F.lit(has_gpu), "gpu_ivf_pq").otherwise(plain)
 
 
 def lsh_knn(docs: DataFrame, query: list[float], k: int, *, tables: int = 8, bucket: float = 2.0, seed: int = 7) -> DataFrame:

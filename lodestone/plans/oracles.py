@@ -271,7 +271,8 @@ ORACLES: dict[str, str] = {
     "memory_decay": f"WITH {MEMORIES} SELECT memory_id, {units('recency * importance')} AS weight_fp FROM r",
     "working_memory_lastn": "SELECT conv_id, turn, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3",
     "working_memory_search": f"WITH {MEMORIES}, {QV}, s AS (SELECT memory_id, CASE WHEN r.embedding IS NULL THEN 0 ELSE {GUARDED} * importance END AS score FROM r, qv q) SELECT memory_id, {units('score', 32)} AS score_fp FROM s QUALIFY row_number() OVER (ORDER BY score DESC, memory_id) <= 10",
-    "memory_boost": f"""{lexical()}, heads AS (SELECT DISTINCT substr(text, 1, 50) AS head FROM documents WHERE doc_id % 10 = 0 AND length(text) > 60)
+    "memory_boost": f"""{lexical()}, recalled AS ({lexical("the who")} SELECT doc_id FROM hits QUALIFY {RANKED.replace(" AS rank", "")} <= 10),
+        heads AS (SELECT DISTINCT substr(text, 1, 50) AS head FROM documents JOIN recalled USING (doc_id) WHERE length(text) > 60)
         SELECT h.doc_id, {units('score * CASE WHEN EXISTS (SELECT 1 FROM heads WHERE contains(d.text, head)) THEN 1.2 ELSE 1 END')} AS score_fp FROM hits h JOIN documents d ON d.doc_id = h.doc_id""",
     "agent_partitions": "SELECT role AS agent_id, count(*) AS n FROM conversations WHERE role <> 'user' GROUP BY role",
     "active_files": f"WITH {FILES} SELECT file_path, doc_count FROM f WHERE snapshot_id = (SELECT max(snapshot_id) FROM f) AND is_active",
@@ -286,11 +287,11 @@ ORACLES: dict[str, str] = {
         t AS (SELECT * FROM s WHERE seq = 1 OR run <= 2000000)
         SELECT seq, file_path, bytes FROM t WHERE (SELECT count(*) FROM f) >= 4 AND (SELECT count(*) FROM t) >= 2""",
     "version_diff": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'removed' WHEN 2 THEN 'added' ELSE 'unchanged' END AS status FROM documents",
-    "as_of": "SELECT user_id, event_id, event_type FROM events WHERE event_id <= 500 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
+    "as_of": "SELECT user_id, event_id, event_type FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
     "schema_evolution": "SELECT p_partkey, p_name, CAST(NULL AS DOUBLE) AS score FROM part",
     "csv_scan": """WITH b AS (SELECT item_id, 'T ' || item_id AS title, replace(text, chr(10), ' ') AS text, 'u' || item_id AS url FROM benchmark WHERE item_id % 3 <> 1)
         SELECT row_number() OVER (ORDER BY item_id) AS doc_id, title, text, url FROM b""",
-    "tsv_scan": "SELECT CAST(item_id AS VARCHAR) AS doc_id, 'Passage ' || item_id AS title, replace(text, chr(10), ' ') AS text, 'msmarco://' || item_id AS url FROM benchmark",
+    "tsv_scan": "SELECT item_id AS doc_id, 'Passage ' || item_id AS title, replace(text, chr(10), ' ') AS text, 'msmarco://' || item_id AS url FROM benchmark",
     "json_scan": "SELECT row_number() OVER (ORDER BY item_id) AS doc_id, 'T ' || item_id AS title, replace(text, chr(10), ' ') AS text, 'doc://' || row_number() OVER (ORDER BY item_id) AS url FROM benchmark",
     "xml_scan": f"SELECT item_id AS doc_id, 'T ' || item_id AS title, {cleaned('text')} AS text, 'https://en.wikipedia.org/wiki/T_' || item_id AS url FROM benchmark",
 }
@@ -299,6 +300,17 @@ EXPANDED_QUERY = f"(SELECT CAST(0 AS BIGINT) AS qid, concat_ws(' ', '{QUERY}', a
 SECOND = f"{lexical()}, {QV}, {COS}, {EXPANDED}, {asked(EXPANDED_QUERY).replace('qtok AS', 'qtok2 AS').replace('q AS (SELECT qid, term', 'q2 AS (SELECT qid, term').replace('FROM qtok ', 'FROM qtok2 ')}, {BODY.replace('body AS', 'body2 AS').replace('FROM q JOIN', 'FROM q2 JOIN')}, {TITLES.replace('titles AS', 'titles2 AS').replace('FROM q JOIN', 'FROM q2 JOIN')}, {BOTH.replace('hits AS', 'hits2 AS').replace('FROM body', 'FROM body2').replace('FROM titles', 'FROM titles2')}"
 ORACLES["expanded_search"] = f"{SECOND} SELECT doc_id, {units('score')} AS score_fp, {RANKED} FROM hits2 QUALIFY rank <= {K}"
 
+# the expanded query's hits, the first 50 fused with the vector ranks, the first 20 of those scored anew
+HYBRID = f"""{SECOND}, top50 AS (SELECT doc_id, score FROM hits2 QUALIFY row_number() OVER ({ORDER}) <= 50),
+    fused AS (SELECT t.doc_id, t.score AS bm25, c.score AS semantic, row_number() OVER (ORDER BY t.score DESC, t.doc_id) AS lr, row_number() OVER (ORDER BY coalesce(c.score, -1) DESC, t.doc_id) AS sr FROM top50 t LEFT JOIN cosines c ON c.doc_id = t.doc_id),
+    pool20 AS (SELECT *, 0.4::DOUBLE / (60 + lr) + 0.6::DOUBLE / (60 + sr) AS rrf FROM fused QUALIFY row_number() OVER (ORDER BY rrf DESC, doc_id) <= 20),
+    anew AS (SELECT doc_id, bm25 / max(bm25) OVER () + coalesce(semantic, 0) AS score FROM pool20),
+    best AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM anew QUALIFY rank <= 10)"""
+ORACLES["hybrid_search"] = f"{HYBRID} SELECT doc_id, {units('score')} AS score_fp, rank FROM best"
+ORACLES["explain_search"] = f"{HYBRID} SELECT b.doc_id, {units('coalesce(h.score, 0)')} AS bm25_fp, {units('coalesce(c.score, 0)')} AS semantic_fp, rank FROM best b LEFT JOIN hits h ON h.doc_id = b.doc_id LEFT JOIN cosines c ON c.doc_id = b.doc_id"
+KINDS = "CASE WHEN n > 500000 THEN 'ivf_pq' WHEN n > 10000 THEN 'hnsw' ELSE 'flat' END"
+ORACLES["index_kind"] = f"SELECT name, n, {KINDS} AS kind FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("embeddings", "documents", "events", "lineitem", "region")) + ")"
+
 COMPARISONS = {"eq": "CAST({c} AS VARCHAR) = '{v}'", "ne": "CAST({c} AS VARCHAR) <> '{v}'", "gt": "{c} > {v}", "gte": "{c} >= {v}", "lt": "{c} < {v}", "lte": "{c} <= {v}", "contains": "contains(lower({c}), lower('{v}'))"}
 ORACLES.update(
     {

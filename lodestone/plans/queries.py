@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,7 +15,7 @@ from lodestone.operators import index as ix
 from lodestone.operators import retrieval as rt
 from lodestone.operators.expansion import expand_queries
 from lodestone.plans import search as plans
-from lodestone.sources import readers, writers
+from lodestone.sources import readers, shared, writers
 
 QUERY = "this or heed this ing"
 K = 20
@@ -66,18 +65,23 @@ def fp(c: str = "score", bits: int = 16) -> Column:
 
 
 class Tables:
-    """The index tables of documents."""
+    """The index tables of documents: made once for an application and a state of the documents, then read."""
 
-    def __init__(self, spark: SparkSession, d: str, *, clean: bool = True):
+    _made: dict[tuple, str] = {}
+
+    def __init__(self, spark: SparkSession, d: str):
         self.docs = docs_of(spark, d)
-        self.tokens = ix.with_tokens(self.docs, clean=clean)
-        self.postings = ix.postings(self.tokens)
-        self.titles = ix.postings(ix.title_tokens(self.docs, clean=clean))
-        self.lengths = ix.doc_lengths(self.tokens)
-        self.stats = ix.corpus_stats(self.lengths)
+        key = (spark.sparkContext.applicationId, d, shared.state_of(spark, f"{d}/documents.parquet"))
+        if key not in self._made:
+            self._made[key] = plans.Index.store(self.docs, shared.fresh_folder(spark, "index"))
+        self.index = plans.Index.load(spark, self._made[key])
+        self.tokens = spark.read.parquet(f"{self._made[key]}/tokens")
+        self.titles, self.lengths, self.stats = self.index.titles, self.index.lengths, self.index.stats
+        self.terms, self.posted = self.index.terms, self.index.postings
+        self.postings = self.posted.drop("df")
 
     def bm25(self, queries: DataFrame) -> DataFrame:
-        return rt.bm25(rt.query_terms(queries), self.postings, self.titles, self.lengths, self.stats)
+        return plans.lexical(self.index, queries)
 
 
 # ---- text
@@ -121,8 +125,12 @@ def keyword_domain(spark: SparkSession, d: str) -> DataFrame:
 
 @registered
 def text_overlap(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("source").orderBy("doc_id")
-    pairs = docs_of(spark, d).withColumn("other", F.lag("text").over(w)).where("other is not null")
+    docs = docs_of(spark, d)
+    place = rt.placed(docs.select("doc_id", F.col("source").alias("qid")), "doc_id")
+    before = place.select(F.col("qid").alias("_qid"), (F.col("place") + 1).alias("place"), F.col("doc_id").alias("_before"))
+    linked = place.join(before, F.col("qid").eqNullSafe(F.col("_qid")) & (place["place"] == before["place"])).select("doc_id", "_before")
+    others = docs.select(F.col("doc_id").alias("_before"), F.col("text").alias("other"))
+    pairs = linked.join(docs.select("doc_id", "text"), "doc_id").join(others, "_before").where("other is not null")
     return pairs.select("doc_id", text.text_overlap(F.lower("text"), F.lower("other")).alias("overlap"))
 
 
@@ -151,7 +159,7 @@ def term_freq(spark: SparkSession, d: str) -> DataFrame:
 
 @registered
 def doc_freq(spark: SparkSession, d: str) -> DataFrame:
-    return ix.doc_freq(Tables(spark, d).postings)
+    return Tables(spark, d).terms
 
 
 @registered
@@ -202,7 +210,8 @@ def delete_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @registered
 def batch_get(spark: SparkSession, d: str) -> DataFrame:
-    wanted = table(spark, d, "labels").select((F.col("doc_id") * 2).alias("doc_id"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("doc_id")).cast("bigint").alias("pos"))
+    wanted = table(spark, d, "labels").select((F.col("doc_id") * 2).alias("doc_id"), F.lit(0).alias("qid"))
+    wanted = rt.placed(wanted, "doc_id").select("doc_id", F.col("place").alias("pos"))
     return ix.batch_get(docs_of(spark, d).select("doc_id", "n_chars"), wanted).select("pos", "doc_id", "n_chars")
 
 
@@ -212,13 +221,13 @@ def batch_get(spark: SparkSession, d: str) -> DataFrame:
 @registered
 def tfidf_scores(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
-    return rt.tfidf(rt.query_terms(asked(spark)), t.postings, t.stats).select("doc_id", fp())
+    return rt.tfidf(rt.query_terms(asked(spark)), t.posted, t.stats).select("doc_id", fp())
 
 
 @registered
 def bm25_body(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
-    return rt.bm25_body(rt.query_terms(asked(spark)), t.postings, t.lengths, t.stats).select("doc_id", fp())
+    return rt.bm25_body(rt.query_terms(asked(spark)), t.posted, t.lengths, t.stats).select("doc_id", fp())
 
 
 @registered
@@ -240,14 +249,14 @@ def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
 @registered
 def fts_topk(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
-    return rt.ranked(rt.fts(rt.query_terms(asked(spark)), t.postings, t.lengths, t.stats), 50).select("doc_id", "score_fp", "rank")
+    return rt.ranked(rt.fts(rt.query_terms(asked(spark)), t.posted, t.lengths, t.stats), 50).select("doc_id", "score_fp", "rank")
 
 
 @registered
 def fts_boost(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
     q = rt.query_terms(asked(spark))
-    return rt.ranked(rt.fts_boosted(t.bm25(asked(spark)), rt.fts(q, t.postings, t.lengths, t.stats)), K).select("doc_id", "score_fp", "rank")
+    return rt.ranked(rt.fts_boosted(t.bm25(asked(spark)), rt.fts(q, t.posted, t.lengths, t.stats)), K).select("doc_id", "score_fp", "rank")
 
 
 FILTERS = {
@@ -406,8 +415,9 @@ def lsh_search(spark: SparkSession, d: str) -> DataFrame:
 
 @registered
 def index_kind(spark: SparkSession, d: str) -> DataFrame:
-    sizes = spark.createDataFrame([(n, vectors.select_index(n)) for n in (10, 10_001, 500_001)], "n long, kind string")
-    return sizes
+    counts = [table(spark, d, name).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name in ("embeddings", "documents", "events", "lineitem", "region")]
+    rows = reduce(DataFrame.unionByName, counts)
+    return rows.select("name", "n", vectors.index_kind(F.col("n")).alias("kind"))
 
 
 # ---- graph
@@ -451,8 +461,7 @@ def feature_rows(spark: SparkSession, d: str, t: Tables) -> DataFrame:
     near = vectors.cosines(vectors_of(spark, d), query_vector(spark, d)).select("doc_id", F.col("score").alias("semantic"))
     rows = hits.join(near, "doc_id", "left").withColumn("graph_score", F.lit(0.0))
     q = asked(spark)
-    df = ix.doc_freq(t.postings.join(rt.query_terms(q).select("term").distinct(), "term", "left_semi"))
-    return ltr.extract_features(rows, t.docs, q.select("qid", "query", text.parse_query("query").alias("tokens")), df, t.stats)
+    return ltr.extract_features(rows, t.docs, q.select("qid", "query", text.parse_query("query").alias("tokens")), t.terms, t.stats)
 
 
 @registered
@@ -490,7 +499,7 @@ def cross_encoder(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_index(spark: SparkSession, d: str) -> plans.Index:
-    return plans.Index.of_documents(docs_of(spark, d), embeddings=vectors_of(spark, d))
+    return replace(Tables(spark, d).index, embeddings=vectors_of(spark, d))
 
 
 @registered
@@ -500,25 +509,25 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 
 @registered
 def filtered_search(spark: SparkSession, d: str) -> DataFrame:
-    index = plans.Index.of_documents(docs_of(spark, d))
+    index = Tables(spark, d).index
     return plans.search(index, QUERY, 10, where=("lang", "en", "eq")).select("doc_id", fp(), "rank")
 
 
 @registered
 def explain_search(spark: SparkSession, d: str) -> DataFrame:
-    index = plans.Index.of_documents(docs_of(spark, d), embeddings=vectors_of(spark, d))
+    index = search_index(spark, d)
     return plans.explain(index, QUERY, 10, vector=query_vector(spark, d)).select("doc_id", fp("bm25"), fp("semantic"), "rank")
 
 
 @registered
 def search_response(spark: SparkSession, d: str) -> DataFrame:
-    index = plans.Index.of_documents(docs_of(spark, d))
+    index = Tables(spark, d).index
     return plans.respond(index, plans.search(index, QUERY, 10), QUERY).select("doc_id", "rank", "title", "url", "snippet")
 
 
 @registered
 def search_context(spark: SparkSession, d: str) -> DataFrame:
-    return plans.context(plans.Index.of_documents(docs_of(spark, d)), QUERY, 10, 2000).select("context")
+    return plans.context(Tables(spark, d).index, QUERY, 10, 2000).select("context")
 
 
 # ---- context
@@ -550,8 +559,8 @@ def context_budget(spark: SparkSession, d: str) -> DataFrame:
 
 def results_of(spark: SparkSession, d: str) -> DataFrame:
     """Documents of each source by length, as if each source were a query."""
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).cast("bigint")
-    return docs_of(spark, d).select(F.col("source").alias("qid"), "doc_id", rank.alias("rank"))
+    docs = docs_of(spark, d).select(F.col("source").alias("qid"), "doc_id", "n_chars")
+    return rt.placed(docs, F.desc("n_chars"), "doc_id").select("qid", "doc_id", F.col("place").alias("rank"))
 
 
 def qrels_of(spark: SparkSession, d: str) -> DataFrame:
@@ -648,7 +657,9 @@ def working_memory_search(spark: SparkSession, d: str) -> DataFrame:
 def memory_boost(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
     hits = t.bm25(asked(spark)).select("qid", "doc_id", "score")
-    remembered = t.docs.where("doc_id % 10 = 0 and length(text) > 60")
+    # what is remembered: the documents that an earlier search recalled
+    recalled = rt.bm25_ranked(t.bm25(asked(spark, "the who")), 10).select("doc_id")
+    remembered = t.docs.join(recalled, "doc_id").where("length(text) > 60")
     return rt.ranked(memory.boosted_by_memory(hits, t.docs, remembered, 1.2)).select("doc_id", fp())
 
 
@@ -720,7 +731,10 @@ def version_diff(spark: SparkSession, d: str) -> DataFrame:
 
 @registered
 def as_of(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where(F.col("event_id") <= 500)
+    events = table(spark, d, "events")
+    # the moment lies in the middle of all events
+    moment = events.agg(F.floor(F.max("event_id") / 2).alias("m")).scalar()
+    e = events.where(F.col("event_id") <= moment)
     return catalog.latest(e.select("user_id", "event_id", "event_type"), "event_id", "user_id")
 
 
@@ -735,8 +749,7 @@ def schema_evolution(spark: SparkSession, d: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that all executors can read."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.environ.get("LODESTONE_SCRATCH") or tempfile.mkdtemp(prefix="lodestone-")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+    return shared.fresh_folder(spark, name)
 
 
 @registered

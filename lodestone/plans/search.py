@@ -18,9 +18,12 @@ from lodestone.operators.expansion import expand_queries
 from lodestone.operators.graph import graph_score
 from lodestone.operators.ltr import extract_features, rerank
 from lodestone.operators.memory import boosted_by_memory
+from lodestone.sources.shared import fresh_folder, stored
 from lodestone.operators.retrieval import bm25, bm25_ranked, column_filter, fts, fts_boosted, query_terms, ranked, scatter_gather
 
 POOL, FUSED, RERANKED = 20, 50, 20
+#: Words that a scan is filtered by; those of more queries are joined only.
+PUSHED = 256
 
 
 @dataclass
@@ -32,6 +35,7 @@ class Index:
     titles: DataFrame
     lengths: DataFrame
     stats: DataFrame
+    terms: DataFrame | None = None
     embeddings: DataFrame | None = None
     dual: DataFrame | None = None
     nodes: DataFrame | None = None
@@ -42,20 +46,41 @@ class Index:
 
     @classmethod
     def of_documents(cls, docs: DataFrame, **more: object) -> Index:
-        """An index computed from documents inside the plan; stored tables serve larger ones."""
-        tokens = ix.with_tokens(docs)
-        lengths = ix.doc_lengths(tokens)
+        """An index of documents, stored in the application's own folder."""
+        spark = docs.sparkSession
+        return cls.load(spark, cls.store(docs, fresh_folder(spark, "index")), **more)
+
+    @staticmethod
+    def store(docs: DataFrame, root: str) -> str:
+        """Writes the tables of an index to root. Every text is cleaned once; postings lie in order of term, so that a search reads few of them."""
         titled = docs if "title" in docs.columns else docs.withColumn("title", first_line("text"))
-        return cls(titled, ix.postings(tokens), ix.postings(ix.with_tokens(titled, "title")), lengths, ix.corpus_stats(lengths), **more)
+        stored(titled, f"{root}/documents")
+        tokens = stored(ix.with_tokens(docs), f"{root}/tokens")
+        posted = ix.postings(tokens)
+        terms = stored(ix.doc_freq(posted), f"{root}/terms")
+        titles = ix.postings(ix.with_tokens(titled, "title"))
+        stored(in_term_order(posted.join(terms, "term")), f"{root}/postings")
+        stored(in_term_order(titles.join(ix.doc_freq(titles), "term")), f"{root}/title_postings")
+        lengths = stored(ix.doc_lengths(tokens), f"{root}/doc_lengths")
+        stored(ix.corpus_stats(lengths), f"{root}/stats")
+        return root
 
     @classmethod
     def load(cls, spark, root: str, **more: object) -> Index:  # noqa: ANN001
         read = lambda name: spark.read.parquet(f"{root}/{name}")
-        return cls(read("documents"), read("postings"), read("title_postings"), read("doc_lengths"), read("stats"), **more)
+        return cls(read("documents"), read("postings"), read("title_postings"), read("doc_lengths"), read("stats"), read("terms"), **more)
+
+
+def in_term_order(posted: DataFrame) -> DataFrame:
+    return posted.select("term", "doc_id", "tf", "df").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
 
 
 def lexical(index: Index, queries: DataFrame) -> DataFrame:
-    return bm25(query_terms(queries), index.postings, index.titles, index.lengths, index.stats)
+    """Hits of queries. The words of few queries are filtered in the scans of the postings."""
+    terms = query_terms(queries)
+    words = [r.term for r in terms.select("term").distinct().limit(PUSHED + 1).collect()]
+    of = lambda posted: posted.where(F.col("term").isin(words)) if len(words) <= PUSHED else posted
+    return bm25(terms, of(index.postings), of(index.titles), index.lengths, index.stats)
 
 
 def search(
@@ -120,7 +145,7 @@ def reranked(index: Index, asked: DataFrame, top: DataFrame, hits: DataFrame, se
     else:
         rows = rows.withColumn("graph_score", F.lit(0.0))
     words = query_terms(asked).select("term").distinct()
-    df = ix.doc_freq(index.postings.join(words, "term", "left_semi"))
+    df = index.terms if index.terms is not None else ix.doc_freq(index.postings.join(words, "term", "left_semi"))
     return rerank(extract_features(rows, index.documents, tokens, df, index.stats), model=model)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable
 from html.parser import HTMLParser
 
@@ -15,7 +16,7 @@ WIKI_URL = "https://en.wikipedia.org/wiki/"
 TEXT_SUFFIXES, HTML_SUFFIXES, PDF_SUFFIXES, IMAGE_SUFFIXES = (".txt", ".md", ".markdown", ".rst"), (".html", ".htm"), (".pdf",), (".png", ".jpg", ".jpeg", ".gif", ".webp")
 # Elements whose content is no text, and elements that stand on lines of their own.
 SILENT = frozenset({"script", "style", "noscript", "head"})
-BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
+BLOCKS = frozenset("p div br li tr h1 h2 h3 h4 h5 h6 blockquote section article".split())
 
 
 def read_wiki_xml(spark: SparkSession, path: str) -> DataFrame:
@@ -53,10 +54,12 @@ def _fields(rows: DataFrame) -> DataFrame:
 
 
 def read_passages_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of id, tab, passage; quotes are text here, so it is no CSV."""
+    """Lines of id, tab, passage; quotes are text here, so it is no CSV. Ids are numbers if all of them are, else text."""
     parts = spark.read.text(path).select(F.split(F.btrim(F.col("value"), F.lit(" \t\r\n")), "\t").alias("p")).where(F.size("p") >= 2)
-    doc_id = F.col("p")[0]
-    return parts.select(doc_id.alias("doc_id"), F.concat(F.lit("Passage "), doc_id).alias("title"), F.col("p")[1].alias("text"), F.concat(F.lit("msmarco://"), doc_id).alias("url"))
+    said = F.col("p")[0]
+    numbers = parts.agg(F.every(said.try_cast("long").isNotNull())).first()[0]
+    doc_id = said.cast("long") if numbers else said
+    return parts.select(doc_id.alias("doc_id"), F.concat(F.lit("Passage "), said).alias("title"), F.col("p")[1].alias("text"), F.concat(F.lit("msmarco://"), said).alias("url"))
 
 
 def read_text_folder(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".txt",)) -> DataFrame:
@@ -66,32 +69,40 @@ def read_text_folder(spark: SparkSession, path: str, suffixes: tuple[str, ...] =
     return rows.where(wanted).select(F.xxhash64("url").alias("doc_id"), "title", "text", "url")
 
 
-class _Extractor(HTMLParser):
+class Lines(HTMLParser):
+    """Collects the visible text of a page; block elements stand on lines of their own.
+
+    Silent elements count as open until as many ends came; an end without a start is nothing.
+    """
+
     def __init__(self) -> None:
-        super().__init__()
-        self.parts: list[str] = []
-        self.silent = 0
+        super().__init__(convert_charrefs=True)
+        self.text, self.hidden = io.StringIO(), []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.silent += tag in SILENT
-        if tag in BLOCKS:
-            self.parts.append("\n")
+        self._edge(tag)
+        if tag in SILENT:
+            self.hidden.append(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        self.silent -= tag in SILENT and self.silent > 0
+        self._edge(tag)
+        if tag in SILENT and self.hidden:
+            self.hidden.pop()
+
+    def _edge(self, tag: str) -> None:
         if tag in BLOCKS:
-            self.parts.append("\n")
+            self.text.write("\n")
 
     def handle_data(self, data: str) -> None:
-        if not self.silent:
-            self.parts.append(data)
+        if not self.hidden:
+            self.text.write(data)
 
 
 def html_to_text(html: str) -> str:
-    p = _Extractor()
-    p.feed(html or "")
-    p.close()
-    return "".join(p.parts)
+    lines = Lines()
+    lines.feed(html or "")
+    lines.close()
+    return lines.text.getvalue()
 
 
 def html_text(c: Column | str) -> Column:
@@ -126,8 +137,6 @@ def read_binary(spark: SparkSession, path: str, convert: Callable[[bytes, str],
 
 
 def pdf_to_text(content: bytes, name: str) -> str:
-    import io
-
     from pypdf import PdfReader
 
     return "\n\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages)

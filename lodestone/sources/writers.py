@@ -58,8 +58,10 @@ def build_index(
     write_table(chunks_of(docs), f"{root}/documents")
     chunks = spark.read.parquet(f"{root}/documents")
     tokens = ix.with_tokens(chunks)
-    write_postings(ix.postings(tokens), f"{root}/postings")
-    write_postings(ix.postings(ix.title_tokens(chunks)), f"{root}/title_postings")
+    posted, titles = ix.postings(tokens), ix.postings(ix.title_tokens(chunks))
+    write_table(ix.doc_freq(posted), f"{root}/terms")
+    write_postings(posted.join(spark.read.parquet(f"{root}/terms"), "term"), f"{root}/postings")
+    write_postings(titles.join(ix.doc_freq(titles), "term"), f"{root}/title_postings")
     write_table(ix.doc_lengths(tokens), f"{root}/doc_lengths")
     write_table(ix.corpus_stats(spark.read.parquet(f"{root}/doc_lengths")), f"{root}/stats")
     if use_fts:
