@@ -11,18 +11,17 @@ document after the third stage; an empty table gives no pieces.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import own_folder, removed, table
+from lodestone.llm.common import table
 from lodestone.llm.decontamination import contamination, merged_runs
 from lodestone.llm.jaccard_join import one_of_each
 from lodestone.llm.line_dedup import dedup_lines
 from lodestone.llm.packing import pack
 from lodestone.llm.toxicity import learn, score
+from lodestone.sources.shared import fresh_folder, removed
 
 #: A document of which this share of words comes from the benchmark goes as a whole.
 LEAK_SHARE = 0.5
@@ -71,7 +70,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{own_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = fresh_folder(spark, "pipeline")
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

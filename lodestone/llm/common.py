@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.shared import fresh_folder, own_folder
+
 ROW_ID, ROW_KEY = "_row_id", "_row_key"
 #: Bytes in a batch to Python, and bytes and rows of text that Python holds as objects at once.
 BATCH_BYTES, PART_BYTES, PART_ROWS = 4 << 20, 1 << 20, 512
@@ -47,37 +47,10 @@ def named_rows(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", text_or_empty()).withColumns({ROW_ID: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), ROW_KEY: F.xxhash64("text")})
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; on local[n] alone one of our own will do."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    state = worker_state()
-    if not hasattr(state, "folder"):
-        state.folder = tempfile.mkdtemp(prefix="lodestone-")
-    return state.folder
-
-
-def own_folder(spark: SparkSession) -> str:
-    """A folder in the shared one for this application's tables, removed when its JVM ends."""
-    folder = f"{shared_folder(spark)}/lodestone-{spark.sparkContext.applicationId}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return folder
-
-
-def removed(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def stored(df: DataFrame) -> DataFrame:
     """df written as a table to the shared folder and read again: lineage ends here."""
     spark = df.sparkSession
-    folder = f"{own_folder(spark)}/{uuid.uuid4().hex}"
+    folder = fresh_folder(spark, "table")
     df.write.option("compression", "none").parquet(folder)  # hashes hardly shrink, and ids are packed without it
     return spark.read.schema(df.schema).parquet(folder)
 

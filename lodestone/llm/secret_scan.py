@@ -5,8 +5,9 @@ bare candidates, long runs of mixed letters and digits that none of those covers
 hashes are counted over the whole corpus by distinct repositories and owners: a value of
 one owner looks live unless example_repositories or more of its repositories have it, one
 that example_owners or more owners have is a widely copied example, others are shared.
-n_repositories is the number for the most copied value of a document. Bare candidates are reported, with kind "live", only where
-their value is live: ownership is what tells a credential from a common string.
+n_repositories is the number for the most copied value of a document. Bare candidates are
+reported, with kind "live", only where their value is live: ownership is what tells a
+credential from a common string.
 
 Spans are (kind, start, end) in code points. A pattern's places follow from the text
 between its matches: split() gives those parts, regexp_extract_all() the matches, and
@@ -19,10 +20,10 @@ one of its own; an empty table gives an empty result; other columns are not look
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW_ID, ROW_KEY, cut, keyed
+from .common import ROW_ID, ROW_KEY, cut, keyed, once, running_sums
 
 # The patterns and least lengths of the base kinds, in the order of listing.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -38,25 +39,17 @@ def matches(text: Column, pattern: str, value_group: int = 0) -> Column:
     """(start, end, value) of the leftmost matches that do not overlap."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else found
-    step = F.zip_with(
-        F.transform(F.split(text, pattern, -1), F.length),
-        F.arrays_zip(found.alias("m"), values.alias("v")),
-        lambda gap, mv: F.struct(gap.alias("gap"), mv["m"].alias("m"), mv["v"].alias("v")),
-    )
+    # between matches and their ends stand the gaps: start = gaps and matches before, and the gap
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
     kind = "array<struct<start:int,end:int,value:string>>"
-    walked = F.aggregate(
-        F.filter(step, lambda s: s["m"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + F.length(s["m"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct((acc["at"] + s["gap"]).alias("start"), (acc["at"] + s["gap"] + F.length(s["m"])).alias("end"), s["v"].alias("value"))),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.rlike(text, F.lit(pattern)), walked).otherwise(F.array().cast(kind))
+
+    def placed(m: Column) -> Column:
+        sizes = F.zip_with(F.slice(gaps, 1, F.size(m)), m, lambda gap, x: gap + F.length(x))
+        both = F.zip_with(once(sizes, lambda v: running_sums(v)), sizes, lambda before, size: before + size)
+        ends = F.zip_with(both, m, lambda end, x: F.struct((end - F.length(x)).alias("start"), end.alias("end")))
+        return F.zip_with(ends, values, lambda p, v: F.struct(p["start"].alias("start"), p["end"].alias("end"), v.alias("value"))).cast(kind)
+
+    return F.when(F.rlike(text, F.lit(pattern)), once(found, placed)).otherwise(F.array().cast(kind))
 
 
 def tagged(spans: Column, kind: str) -> Column:
@@ -91,12 +84,21 @@ def candidates(docs: DataFrame, owner: str, repository: str) -> DataFrame:
     base = F.array_sort(F.concat(tagged(F.col("assign"), "assign"), tagged(F.col("access"), "access"), tagged(F.col("hex"), "hex")))
     return (
         found.withColumn("base", base)
-        .withColumn("bare", F.filter(tagged(F.col("bare"), "live"), lambda b: ~F.exists("base", lambda s: (s["start"] < b["end"]) & (b["start"] < s["end"]))))
+        .withColumn("bare", tagged(F.col("bare"), "live"))
         .where((F.size("base") > 0) | (F.size("bare") > 0))
         .select(ROW_ID, ROW_KEY, "owner", "repository", "base", "bare")
     )
 
 
+def uncovered(each: DataFrame) -> DataFrame:
+    """The spans s without bare ones that overlap a base one: along a document, the furthest end of the base spans that begin before a bare one ends."""
+    is_bare = F.col("s.kind") == "live"
+    at = F.when(is_bare, F.col("s.end") - 1).otherwise(F.col("s.start"))
+    before = Window.partitionBy(ROW_ID, ROW_KEY, "owner", "repository").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    reach = F.max(F.when(~is_bare, F.col("s.end"))).over(before)
+    return each.withColumn("_at", at).withColumn("_reach", reach).where(~is_bare | F.col("_reach").isNull() | (F.col("_reach") <= F.col("s.start"))).drop("_at", "_reach")
+
+
 def ownership(values: DataFrame) -> DataFrame:
     """value_hash, n_owners, n_repositories: distinct counts in two steps, each combined before its shuffle."""
     by_repository = values.groupBy("value_hash", "owner", "repository").agg(F.count(F.lit(1)).alias("n"))
@@ -107,7 +109,7 @@ def ownership(values: DataFrame) -> DataFrame:
 def secret_scan(docs: DataFrame, *, owner: str = "source", repository: str = "doc_id", example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_shared, n_example, n_repositories for every row of docs."""
     found = cut(candidates(docs, owner, repository))
-    each = found.select(ROW_ID, ROW_KEY, "owner", "repository", F.explode(F.concat("base", "bare")).alias("s")).withColumn("value_hash", F.xxhash64("s.value"))
+    each = cut(uncovered(found.select(ROW_ID, ROW_KEY, "owner", "repository", F.explode(F.concat("base", "bare")).alias("s"))).withColumn("value_hash", F.xxhash64("s.value")))
     owned = ownership(each.select("value_hash", "owner", "repository"))
     live = (F.col("n_owners") == 1) & (F.col("n_repositories") < example_repositories)
     status = F.when(F.col("n_owners") >= example_owners, "example").when(live, "live").otherwise("shared")
