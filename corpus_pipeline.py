@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import table
-from lodestone.llm.decontamination import contamination, merged_runs
+from lodestone.llm.decontamination import contamination
 from lodestone.llm.jaccard_join import one_of_each
 from lodestone.llm.line_dedup import dedup_lines
 from lodestone.llm.packing import pack
@@ -54,7 +54,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of the benchmark are cut out; documents that mostly consist of them go."""
     found = contamination(docs, table(spark, sf_dir, "benchmark"), cut_spans=True)
-    hit = F.aggregate(merged_runs(), F.lit(0), lambda n, r: n + r["end"] - r["start"])
+    hit = F.aggregate("runs", F.lit(0), lambda n, r: n + r["end"] - r["start"])
     return measured(found.where((hit == 0) | (hit < LEAK_SHARE * F.col("n_words"))), docs.columns)
 
 

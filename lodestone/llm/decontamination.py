@@ -7,9 +7,10 @@ items' vocabulary, a rolling hash of numbers is looked up in the set of window h
 each hit is verified number by number.
 
 The window set is measured first. A set of up to block_windows windows is broadcast
-whole; a larger one is broadcast in blocks of that many, each of which is matched against
-all documents, and the words hit and items found are united by document. So what is
-broadcast has a fixed bound.
+whole; a larger one in blocks of that many, one after the other: each is matched against
+all documents, what it hits is stored, and its broadcast is dropped before the next one is
+made. The words hit and items found are united by document. So what driver and executors
+hold of the benchmark has a fixed bound, and the plan does not grow with it.
 
 Edge cases: a null or empty text has no words and no hits; a null item_id is the empty
 string and items that share an id count as one; rows equal in doc_id and text have equal
@@ -24,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_batches, parts, text_or_empty
+from .common import byte_batches, once, parts, stored, text_or_empty
 
 WINDOW_WORDS = 10
 BLOCK_WINDOWS = 200_000
@@ -113,7 +115,10 @@ def cut_out(text: str, runs: list[dict]) -> str:
 
 def scan(docs: DataFrame, windows: list[tuple[list[str], list[str]]], *, cut_spans: bool = False) -> DataFrame:
     """docs with n_words, runs (start, end of hit words) and items added; with cut_spans the runs leave the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(WindowSet(windows))
+    return scanned(docs, docs.sparkSession.sparkContext.broadcast(WindowSet(windows)), cut_spans=cut_spans)
+
+
+def scanned(docs: DataFrame, shared: Broadcast, *, cut_spans: bool = False) -> DataFrame:
     at_text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +148,7 @@ def scan(docs: DataFrame, windows: list[tuple[list[str], list[str]]], *, cut_spa
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window_words: int = WINDOW_WORDS, block_windows: int = BLOCK_WINDOWS, cut_spans: bool = False) -> DataFrame:
     """docs with n_words, runs and items: what the benchmark has of each document; with cut_spans it leaves the texts.
 
-    The columns n_words, runs and items of docs itself, if there are any, are replaced.
+    The columns n_words, runs, items and _contamination_* of docs itself, if there are any, are replaced.
     """
     docs = docs.drop("n_words", "runs", "items")
     byte_batches(docs.sparkSession)
@@ -151,35 +156,39 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window_words: int =
     n = windows.count()
     if n <= block_windows:
         return scan(docs, [(r.words, r.owners) for r in windows.toLocalIterator()], cut_spans=cut_spans)
-    # blocks by hash, of three quarters of the bound on average; each is matched against all documents
+    # blocks by hash, of three quarters of the bound on average: each is matched against all documents and what it hits is stored
     blocks = -(-4 * n // (3 * block_windows))
-    numbered = windows.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks)))
-    out = docs.withColumn("n_words", F.lit(0).cast("long")).withColumn("runs", F.array().cast("array<struct<start:int,end:int>>")).withColumn("items", F.array().cast("array<string>"))
+    numbered = stored(windows.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks))))
+    names = [f"_contamination_{k}" for k in ("id", "text", "runs", "items")]
+    one, other, runs, items = names
+    named = docs.drop(*names).withColumns({one: F.xxhash64(F.col("doc_id").cast("string")), other: F.xxhash64(text_or_empty())})
+    hits = None
     for b in range(blocks):
-        part = [(r.words, r.owners) for r in numbered.where(F.col("block") == b).toLocalIterator()]
-        before = out.withColumnsRenamed({"n_words": "_n", "runs": "_runs", "items": "_items"})
-        out = scan(before, part).withColumn("runs", F.concat("_runs", "runs")).withColumn("items", F.array_union("_items", "items")).drop("_n", "_runs", "_items")
+        shared = named.sparkSession.sparkContext.broadcast(WindowSet([(r.words, r.owners) for r in numbered.where(F.col("block") == b).toLocalIterator()]))
+        found = stored(scanned(named.select(one, other, "text"), shared).where(F.size("runs") > 0).select(one, other, F.col("runs").alias(runs), F.col("items").alias(items)))
+        shared.destroy()
+        hits = found if hits is None else hits.unionByName(found)
+    by_doc = hits.groupBy(one, other).agg(merged(F.flatten(F.collect_list(runs))).alias(runs), F.array_distinct(F.flatten(F.collect_list(items))).alias(items))
+    counted = scan(named, [])
+    out = counted.join(stored(by_doc), [one, other], "left").withColumns({"runs": F.coalesce(runs, "runs"), "items": F.coalesce(items, "items")})
+    out = out.select(*[c for c in docs.columns if c not in names], "n_words", "runs", "items")
     return without_spans(out) if cut_spans else out
 
 
-def merged_runs(runs: str = "runs") -> Column:
-    """Runs by start, those that touch or overlap made one."""
-    kind = "array<struct<start:int,end:int>>"
-    return F.aggregate(
-        F.array_sort(runs),
-        F.array().cast(kind),
-        lambda acc, r: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))["end"] >= r["start"]),
-            F.concat(
-                F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))),
-                F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], r["end"]).alias("end"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(r))),
-    )
+def merged(runs: Column) -> Column:
+    """Runs (start, end) of words as those that do not touch, by start; the work grows with the words that they cover."""
+    covered = F.sort_array(F.array_distinct(F.flatten(F.transform(runs, lambda r: F.sequence(r["start"], r["end"] - 1)))))
+
+    def edges(c: Column) -> Column:
+        starts = F.filter(c, lambda x, i: F.coalesce(F.get(c, i - 1), F.lit(-2)) != x - 1)
+        ends = F.filter(c, lambda x, i: F.coalesce(F.get(c, i + 1), F.lit(-2)) != x + 1)
+        return F.zip_with(starts, ends, lambda x, y: F.struct(x.alias("start"), (y + 1).alias("end")))
+
+    return once(covered, edges)
 
 
 def contamination_digest(found: DataFrame) -> DataFrame:
-    n_hit = F.aggregate(merged_runs(), F.lit(0), lambda n, r: n + r["end"] - r["start"]).cast("long")
+    n_hit = F.aggregate("runs", F.lit(0), lambda n, r: n + r["end"] - r["start"]).cast("long")
     return found.withColumn("n_hit", n_hit).select(
         "doc_id",
         "n_words",
@@ -199,4 +208,4 @@ def without_spans(found: DataFrame) -> DataFrame:
             k = batch.schema.get_field_index("text")
             yield batch.set_column(k, "text", pa.array(texts, pa.string()))
 
-    return found.withColumn("runs", merged_runs()).mapInArrow(run, found.schema)
+    return found.mapInArrow(run, found.schema)

@@ -9,6 +9,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+from pyspark.sql import functions as F
+
 from lodestone.llm.jaccard_join import links_of
 from lodestone.llm.media import SIGNATURES, VALIDATORS, sniff, to_bmp, to_png, to_wav
 from lodestone.llm.packing import first_fit_decreasing
@@ -114,6 +116,9 @@ def test_decontamination_in_blocks_is_the_same(spark, sf_dir):
     whole = contamination_digest(contamination(docs.select("doc_id", "text"), items)).collect()
     parts = contamination_digest(contamination(docs.select("doc_id", "text"), items, block_windows=500)).collect()
     assert sorted(whole) == sorted(parts) and any(r.contaminated for r in whole)
+    clashing = docs.withColumns({c: F.lit("x") for c in ("_n", "_runs", "_items", "runs", "items", "n_words", "_contamination_id")})
+    cut = {b: sorted((r.doc_id, r.text) for r in contamination(clashing, items, block_windows=b, cut_spans=True).collect()) for b in (500, 10**9)}
+    assert cut[500] == cut[10**9]
 
 
 def test_packing(spark, sf_dir, texts, library):

@@ -113,3 +113,24 @@ def test_pipeline_stages_on_odd_rows(spark, sf_dir, tmp_path):
                 assert out.columns == docs.columns
             docs = spark.read.parquet(str(tmp_path / f"{len(rows)}-{name}"))
         assert (docs.count() > 0) == bool(rows)
+
+
+def test_long_texts_of_matches_take_time_in_proportion(spark):
+    """Twenty thousand values in one text: what grew with their square took minutes."""
+    import hashlib
+    import time
+
+    text = " ".join(hashlib.sha1(str(k).encode()).hexdigest() for k in range(20_000))
+    began = time.perf_counter()
+    (row,) = secret_scan(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).collect()
+    assert row.n_hex == 20_000 and time.perf_counter() - began < 60
+
+
+def test_line_dedup_of_shared_and_missing_ids(spark):
+    passage = " ".join(f"w{k}" for k in range(45))
+    rows = [(None, passage), (None, passage), (None, "own. " + passage), (1, passage), (1, "other. " + passage), (2, None), (3, "")]
+    got = sorted((repr(r.doc_id), r.text, r.n_lines) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    # rows equal in id and text are one document: the first of all, whose rows both stay; which of two texts of an id is first, their hash tells
+    kept = [t for _, t, _ in got if passage in t]
+    assert len(got) == len(rows) and set(kept) in ({passage}, {"own. " + passage}) and len(kept) in (1, 2)
+    assert ("2", "", 0) in got and ("3", "", 0) in got
