@@ -20,8 +20,8 @@ UNSAFE = regex.compile(r"[^\t\n\r\x20-\x7e¡-¬®-įı-ɏ]")
 #: The piece pattern of the vocabulary file.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SPECIAL = "<|"
-#: Words kept by a worker; its memory starts anew beyond that.
-CACHE_WORDS = 200_000
+#: Words kept by a worker, none of them longer than CACHE_CHARS: about 200 bytes each, 120 MB in all.
+CACHE_WORDS, CACHE_CHARS = 600_000, 48
 
 
 def byte_letters() -> list[str]:
@@ -32,20 +32,26 @@ def byte_letters() -> list[str]:
 
 
 class Words(dict):
-    """word -> ids, filled on demand."""
+    """word -> ids, filled on demand. When half the room is full, what is not looked up again until the other half is full goes."""
 
     def __init__(self, model):
         super().__init__()
-        self.model, self.letters = model, byte_letters()
+        self.model, self.letters, self.older = model, byte_letters(), {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= CACHE_WORDS // 2:
+            self.older = dict(self)
             self.clear()
+        if word in self.older:
+            self[word] = out = self.older[word]
+            return out
         ids: list[int] = []
         for piece in PIECES.findall(word):
             spelt = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
             ids += [t.id for t in self.model.tokenize(spelt)]
-        self[word] = out = np.array(ids, "<u4").tobytes()
+        out = np.array(ids, "<u4").tobytes()
+        if len(word) <= CACHE_CHARS:
+            self[word] = out
         return out
 
 
