@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 
+UNKNOWN = -2
+
+
 def lyndon_groups(s: list[int]) -> tuple[list[int], list[int]]:
     """For each suffix the start of its Lyndon group in the order, and the previous smaller suffix.
 
@@ -23,16 +26,25 @@ def lyndon_groups(s: list[int]) -> tuple[list[int], list[int]]:
             first = k
         place[i], start[i] = k, first
         size[first] += 1
-    smaller = [-1] * n
+    smaller = [UNKNOWN] * n
     end = n - 1
     while end >= 0:
         low = start[order[end]]
         pointed: dict[int, int] = {}
-        for i in sorted(order[low : end + 1]) if end > low else (order[low],):
-            j = i - 1
-            while j >= 0 and start[j] >= low:
-                j = smaller[j]
-            smaller[i] = j
+        for i in order[low : end + 1]:
+            j = smaller[i]
+            if j == UNKNOWN:
+                # members of this group on the way are passed by, and have the same one
+                passed = [i]
+                j = i - 1
+                while j >= 0 and start[j] >= low:
+                    back = smaller[j]
+                    if back == UNKNOWN:
+                        passed.append(j)
+                        back = j - 1
+                    j = back
+                for k in passed:
+                    smaller[k] = j
             if j >= 0:
                 pointed[j] = pointed.get(j, 0) + 1
         by_count: dict[int, list[int]] = {}

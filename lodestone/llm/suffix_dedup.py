@@ -7,7 +7,7 @@ to every string named after it, and their hash is the anchor's key. Keys that st
 once in the corpus are dropped, in a stream over sorted keys, before any text is moved.
 
 What is left is dealt out by key, each anchor with the bytes around it. A part's anchors,
-each written as two symbols, the rank of its key and the rank of the bytes after it, form
+each written as the name of its key and then the bytes after it in blocks of eight, form
 a text whose suffix array (linear grouping construction) puts anchors with long common
 continuations next to each other. From the common lengths of neighbours follow, for each
 number l of bytes before the anchor, the stretches of anchors that agree in the
@@ -15,9 +15,12 @@ number l of bytes before the anchor, the stretches of anchors that agree in the
 it have a string in common.
 
 Frequent keys: of the anchors of one task that agree in all bytes around them, the first
-two go on and the others are settled there, as the same strings cover them. A key with more than
-many_anchors anchors is split by l: for each ten values of l, the bytes that all strings
-of these l share, at least `length` - 9, are the key.
+two go on and the others are settled there, as the same strings cover them; that happens
+before keys are dealt out (within a slice of texts and, for what repeats there, within the
+task) and once more when the bytes around are fetched. Which ones go on depends on the rows
+alone, not on the order in which blocks arrive, so a task that runs again decides alike. A
+key with more than many_anchors anchors is split by l: for each ten values of l, the bytes
+that all strings of these l share, at least `length` - 9, are the key.
 
 Edge cases: a null or empty text has no bytes; texts shorter than `length` stay whole;
 rows equal in doc_id and text are two texts, so all of their strings repeat; a null
@@ -41,7 +44,9 @@ from .suffix_array import suffix_array
 LENGTH, GRAM = 200, 8
 MANY_ANCHORS = 2_000
 L_SPLIT = 10
-PART_ANCHORS = 20_000
+PART_ANCHORS = 5_000
+FREQUENT = 10_000
+BLOCK = 8
 LOW = np.uint64((1 << 40) - 1)
 SALT = np.uint64(0xA0761D6478BD642F)
 PLACE = [ROW_ID, ROW_KEY]
@@ -98,27 +103,58 @@ def anchors_of(buf: bytes, bounds: np.ndarray, length: int) -> tuple[np.ndarray,
     return doc[first], anchor, anchor - starts[last], anchor - starts[first]
 
 
+def nth_of(whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each value how many equal ones stand before it, and how many there are."""
+    by = np.argsort(whole, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], whole[by][1:] != whole[by][:-1])))[: len(by)]
+    count = np.diff(np.concatenate((first, [len(by)])))
+    nth, times = np.empty(len(by), np.int64), np.empty(len(by), np.int64)
+    nth[by], times[by] = np.arange(len(by)) - np.repeat(first, count), np.repeat(count, count)
+    return nth, times
+
+
+def all_around(hashes: Hashes, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
+    """Hash of all bytes that the strings named after an anchor cover, and of where it stands among them."""
+    return hashes.of(anchor - high, high + length - low) ^ mixed((high << 8 | low).astype(np.uint64))
+
+
+def spread(whole: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Keys that deal settled anchors evenly."""
+    return mixed(whole + np.arange(len(whole), dtype=np.uint64) + ids.astype(np.uint64))
+
+
 def anchor_keys(docs: DataFrame, length: int) -> DataFrame:
-    """_row_id, _row_key, key, packed (anchor << 16 | least l << 8 | greatest l) for every anchor."""
+    """_row_id, _row_key, key, packed (anchor << 16 | least l << 8 | greatest l) for every anchor; for those settled here a random key and -1 - packed."""
     reach = length // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent: set[int] = set()  # of these, two have gone on already
         for whole in batches:
             for part in parts(whole, 2):
                 texts = [t.encode() for t in part.column(2).to_pylist()]
                 bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
                 buf = b"".join(texts)
                 doc, anchor, low, high = anchors_of(buf, bounds, length)
-                key = Hashes(np.frombuffer(buf, np.uint8)).of(anchor, length - reach + 1)
+                hashes = Hashes(np.frombuffer(buf, np.uint8))
+                key = hashes.of(anchor, length - reach + 1)
                 packed = (anchor - bounds[doc]) << 16 | low << 8 | high
                 ids = [part.column(k).to_numpy()[doc] for k in (0, 1)]
+                around = all_around(hashes, anchor, low, high, length)
+                nth, times = nth_of(around)
+                settled = nth >= 2
+                if frequent:
+                    settled |= np.isin(around, np.fromiter(frequent, np.uint64, len(frequent)))
+                if len(frequent) < FREQUENT:
+                    frequent.update(around[(times > 2) & (nth == 0)].tolist())
+                key = np.where(settled, spread(around, ids[0]), key)
+                packed = np.where(settled, -1 - packed, packed)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*ids, key.view(np.int64), packed)], names=[*PLACE, "key", "packed"])
 
     return docs.mapInArrow(run, f"{ROW_ID} long, {ROW_KEY} long, key long, packed long")
 
 
 def shared_keys(anchors: DataFrame, many: int) -> DataFrame:
-    """Anchors whose key stands twice or more, and whether it stands more than many times."""
+    """Anchors whose key stands twice or more, and whether it stands more than many times; settled ones as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def kept(rows: list[np.ndarray]) -> pa.RecordBatch:
@@ -126,7 +162,8 @@ def shared_keys(anchors: DataFrame, many: int) -> DataFrame:
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             count = np.diff(np.concatenate((first, [len(key)])))
             n = np.repeat(count, count)
-            return pa.RecordBatch.from_arrays([*(pa.array(r[n > 1]) for r in rows[:2]), pa.array(rows[3][n > 1]), pa.array(n[n > 1] > many)], names=[*PLACE, "packed", "many"])
+            goes = (n > 1) | (rows[3] < 0)
+            return pa.RecordBatch.from_arrays([*(pa.array(r[goes]) for r in rows[:2]), pa.array(rows[3][goes]), pa.array((n[goes] > many) & (rows[3][goes] >= 0))], names=[*PLACE, "packed", "many"])
 
         rest: list[list[np.ndarray]] = []
         for batch in batches:
@@ -153,13 +190,18 @@ def surroundings(docs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
     lists = anchors.groupBy(*PLACE).agg(F.collect_list("packed").alias("packed"), F.collect_list("many").alias("many"))
     joined = docs.join(lists, PLACE).select(*PLACE, "text", "packed", "many")
 
-    def of_slice(part: pa.RecordBatch) -> list[np.ndarray]:
+    def of_slice(part: pa.RecordBatch) -> list:
+        """The columns of AROUND but for the bytes, the hash of all bytes around, whether settled before, the buffer, and where the bytes stand in it."""
         texts = [t.encode() for t in part.column(2).to_pylist()]
         bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
         counts = pa.compute.list_value_length(part.column(3)).to_numpy(zero_copy_only=False)
         doc = np.repeat(np.arange(part.num_rows), counts)
         packed = part.column(3).flatten().to_numpy()
         many = part.column(4).flatten().to_numpy(zero_copy_only=False)
+        by = np.lexsort((packed, doc))  # lists come in the order in which blocks arrived
+        packed, many = packed[by], many[by]
+        settled = packed < 0
+        packed = np.where(settled, -1 - packed, packed)
         buf = b"".join(texts)
         low, high, anchor = packed >> 8 & 255, packed & 255, (packed >> 16) + bounds[doc]
         hashes = Hashes(np.frombuffer(buf, np.uint8))
@@ -173,9 +215,8 @@ def surroundings(docs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
         base, top = np.where(split, k * L_SPLIT, 0), np.where(split, np.minimum(k * L_SPLIT + L_SPLIT - 1, reach - 1), reach - 1)
         a = anchor[row]
         key = hashes.of(a - base, base + length - top) ^ mixed(base.astype(np.uint64))
-        before, after = a - l1, a + length - l0  # the strings named after the anchor lie in between
-        whole = hashes.of(before, after - before) ^ mixed((l1 << 8 | l0).astype(np.uint64)) ^ key
-        return [part.column(0).to_numpy()[doc[row]], part.column(1).to_numpy()[doc[row]], key, a - bounds[doc[row]], l0, l1, whole, [buf[x:y] for x, y in zip(before.tolist(), a.tolist(), strict=True)], [buf[x:y] for x, y in zip((a + core).tolist(), after.tolist(), strict=True)]]
+        whole = all_around(hashes, a, l0, l1, length) ^ key
+        return [part.column(0).to_numpy()[doc[row]], part.column(1).to_numpy()[doc[row]], key, a - bounds[doc[row]], l0, l1, whole, settled[row], buf, a]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
@@ -183,27 +224,30 @@ def surroundings(docs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
         seen: dict[int, int] = {}
         for batch in batches:
             for part in parts(batch, 2):
-                ids, keys, key, anchor, low, high, whole, before, after = of_slice(part)
+                ids, keys, key, anchor, low, high, whole, settled, buf, at = of_slice(part)
                 if len(seen) > 1_000_000:
                     seen = {}
                 # the first two that agree in all go on and find each other; the rest are settled
-                by = np.argsort(whole, kind="stable")
-                first = np.flatnonzero(np.concatenate(([True], whole[by][1:] != whole[by][:-1])))[: len(by)]
-                count = np.diff(np.concatenate((first, [len(by)])))
-                nth = np.empty(len(by), np.int64)
-                nth[by] = np.arange(len(by)) - np.repeat(first, count)
-                goes_on = nth + np.fromiter((seen.get(w, 0) for w in whole.tolist()), np.int64, len(whole)) < 2
-                for w in whole[goes_on].tolist():
+                left = np.flatnonzero(~settled)
+                of_left = whole[left]
+                nth, _ = nth_of(of_left)
+                first = left[nth + np.fromiter((seen.get(w, 0) for w in of_left.tolist()), np.int64, len(left)) < 2]
+                for w in whole[first].tolist():
                     seen[w] = seen.get(w, 0) + 1
-                for rows, is_told in ((np.flatnonzero(goes_on), False), (np.flatnonzero(~goes_on), True)):
+                told = np.ones(len(whole), bool)
+                told[first] = False
+                for rows, is_told in ((first, False), (np.flatnonzero(told), True)):
                     n = len(rows)
-                    spread = mixed(whole[rows] + rows.astype(np.uint64) + ids[rows].astype(np.uint64)).view(np.int64) if is_told else key[rows].view(np.int64)
+                    dealt = spread(whole[rows], ids[rows]) if is_told else key[rows]
                     none = [b""] * n
+                    # the strings named after an anchor lie between these
+                    before, after = at[rows] - high[rows], at[rows] + length - low[rows]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(ids[rows]), pa.array(keys[rows]), pa.array(spread), pa.array(anchor[rows]),
+                            pa.array(ids[rows]), pa.array(keys[rows]), pa.array(dealt.view(np.int64)), pa.array(anchor[rows]),
                             pa.array(np.where(is_told, -1 - low[rows], low[rows]).astype(np.int32)), pa.array(high[rows].astype(np.int32)),
-                            pa.array(none if is_told else [before[k] for k in rows.tolist()], pa.binary()), pa.array(none if is_told else [after[k] for k in rows.tolist()], pa.binary()),
+                            pa.array(none if is_told else [buf[x:y] for x, y in zip(before.tolist(), at[rows].tolist(), strict=True)], pa.binary()),
+                            pa.array(none if is_told else [buf[x:y] for x, y in zip((at[rows] + core).tolist(), after.tolist(), strict=True)], pa.binary()),
                         ],
                         names=[*PLACE, "key", "anchor", "low", "high", "before", "after"],
                     )
@@ -215,16 +259,35 @@ def padded(rows: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join(r.ljust(width, b"\0") for r in rows), np.uint8).reshape(len(rows), width)
 
 
+def continuations(name: np.ndarray, right: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """Anchors in the order of key and of the bytes after them: from the suffix array of the text in which each anchor is its key's name and its n_bytes bytes in blocks.
+
+    Names of keys lie below those of blocks, so where the bytes of an anchor end, it comes before those that go on.
+    """
+    m, blocks = len(name), -(-n_bytes // BLOCK)
+    wide = np.zeros((m, -(-right.shape[1] // BLOCK) * BLOCK), np.uint8)
+    wide[:, : right.shape[1]] = right
+    values = wide.view(">u8").astype(np.uint64)
+    _, named = np.unique(values[np.arange(values.shape[1]) < blocks[:, None]], return_inverse=True)
+    start = np.cumsum(blocks + 1) - blocks - 1
+    text = np.zeros(int(blocks.sum()) + m + 1, np.int64)
+    is_key = np.zeros(len(text), bool)
+    is_key[start] = True
+    inside = ~is_key
+    inside[-1] = False
+    text[start], text[inside] = name + 1, named + 1 + m
+    anchor = np.where(is_key, np.cumsum(is_key) - 1, -1)
+    order = anchor[np.array(suffix_array(text.tolist()))]
+    return order[order >= 0]
+
+
 def repeated_ls(key: np.ndarray, low: np.ndarray, high: np.ndarray, before: list[bytes], after: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """Least and greatest l of each anchor at which its string repeats here; -1 for none."""
     reach, m = length // 2, len(key)
     width = max(1, reach - 1)
     right = padded(after, width)
-    _, rank = np.unique(right.view(f"V{width}").ravel() if width > 1 else right.ravel(), return_inverse=True)
     _, name = np.unique(key, return_inverse=True)
-    text = np.empty(2 * m + 1, np.int64)
-    text[0:-1:2], text[1:-1:2], text[-1] = name + 1, rank + 1 + m, 0
-    order = np.array([i >> 1 for i in suffix_array(text.tolist()) if not i & 1 and i < 2 * m], np.int64)
+    order = continuations(name, right, np.array([len(b) for b in after], np.int64))
     # bytes that neighbours in order have in common after the core, where both have them
     above, below = order[:-1], order[1:]
     unlike = right[above] != right[below]

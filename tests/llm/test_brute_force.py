@@ -16,7 +16,7 @@ from lodestone.llm.media import SIGNATURES, VALIDATORS, sniff, to_bmp, to_png, t
 from lodestone.llm.packing import first_fit_decreasing
 from lodestone.llm.queries import QUERIES, SQL
 from lodestone.llm.suffix_array import suffix_array
-from lodestone.llm.suffix_dedup import suffix_dedup, suffix_digest
+from lodestone.llm.suffix_dedup import continuations, padded, suffix_dedup, suffix_digest
 from lodestone.llm.token_counts import count_tokens
 from lodestone.llm.wordbpe import WordBpe
 
@@ -103,6 +103,30 @@ def test_suffix_dedup(spark):
         assert [got[k] for k in range(len(texts))] == want
 
 
+def test_continuations_stand_in_the_order_of_their_bytes():
+    rng = np.random.default_rng(2)
+    for _ in range(100):
+        m, most = int(rng.integers(1, 40)), int(rng.choice([1, 7, 8, 9, 30, 99]))
+        name, after = rng.integers(0, 3, m), [bytes(rng.integers(97, 99, rng.integers(0, most + 1)).tolist()) for _ in range(m)]
+        order = continuations(name, padded(after, most), np.array([len(b) for b in after], np.int64))
+        assert sorted(order.tolist()) == list(range(m))
+        assert [(name[k], after[k]) for k in order] == sorted((name[k], after[k]) for k in range(m))
+
+
+def test_periods_in_many_documents_are_settled_before_keys_are_dealt(spark):
+    from lodestone.llm.common import byte_batches, keyed
+    from lodestone.llm.suffix_dedup import anchor_keys
+
+    texts = ["%d " % k + "ab " * (100 + k % 7) + "end %d" % k for k in range(60)] + ["xyz " * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    byte_batches(spark)
+    anchors = anchor_keys(keyed(docs), 200).collect()
+    left = Counter(r.key for r in anchors if r.packed >= 0)
+    assert len(anchors) > 2000 and max(left.values()) * 10 < len(anchors)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_digest(suffix_dedup(docs)).collect()}
+    assert [got[k] for k in range(len(texts))] == list(brute_dedup(texts, 200))
+
+
 def test_suffix_dedup_of_the_table(spark, sf_dir, texts):
     ids = sorted(texts)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in QUERIES["op4_suffix_dedup"](spark, sf_dir).collect()}
