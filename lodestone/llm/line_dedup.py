@@ -72,12 +72,17 @@ def by_blanks(line: Column) -> Column:
 
 def hashed_lines(text: Column) -> Column:
     """(h, w): hash and words of each line that has words."""
-    odd = F.contains(text, F.lit("  "))
+    odd = F.contains(text, F.lit("  ")) | F.contains(text, F.lit(MARK))
     for space in "\t\x0b\f\r":
         odd = odd | F.contains(text, F.lit(space))
+    of = lambda lines, count: F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), count(x).alias("w")))
     trimmed = F.transform(lines_of(text), lambda x: F.btrim(x, F.lit(SPACE)))
-    of = lambda count: F.transform(trimmed, lambda x: F.struct(F.xxhash64(x).alias("h"), count(x).alias("w")))
-    return F.filter(F.when(odd, of(lambda x: F.regexp_count(x, F.lit(r"\S+")))).otherwise(of(by_blanks)), lambda s: s["w"] > 0)
+    # where line feeds and blanks are all the white space, marks may stand in place of that which ends a line
+    plain = text
+    for end in ENDS:
+        plain = F.replace(plain, F.lit(end), F.lit(end.rstrip() + MARK))
+    bare = F.transform(F.split(plain, MARK, -1), lambda x: F.trim(x))
+    return F.filter(F.when(odd, of(trimmed, lambda x: F.regexp_count(x, F.lit(r"\S+")))).otherwise(of(bare, by_blanks)), lambda s: s["w"] > 0)
 
 
 def windows(docs: DataFrame, least_words: int) -> DataFrame:
