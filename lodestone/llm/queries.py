@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .chat_format import chat_digest, chat_examples
 from .common import table
 from .decontamination import contamination, contamination_digest
+from .fill_in_middle import fill_in_middle, fim_digest
 from .jaccard_join import jaccard_components, jaccard_digest
 from .line_dedup import dedup_lines, line_digest
 from .media import media_digest, sniff_media, texts_to_media
@@ -68,6 +69,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(sniff_media(texts_to_media(table(spark, sf_dir, "documents"))))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_digest(fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_media_columns": op10_media_columns,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 SQL: dict[str, str] = {
@@ -162,4 +168,19 @@ SQL: dict[str, str] = {
             sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
             CAST(sum(upto) FILTER (is_end) AS BIGINT) AS formatted_chars, count(*) FILTER (is_end) AS n_examples
         FROM placed GROUP BY conv_id""",
+    "op13_fill_in_middle": r"""
+        WITH docs AS (
+            SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+        drawn AS (SELECT *, [CAST('0x' || d[8 * k + 1:8 * k + 8] AS BIGINT) FOR k IN range(4)] AS h FROM docs),
+        cuts AS (
+            SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+                CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+                    WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM drawn),
+        parts AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1) AS s FROM cuts)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CAST(CASE WHEN form <> 'plain' THEN a END AS BIGINT) AS prefix_chars,
+            CAST(CASE WHEN form <> 'plain' THEN b - a END AS BIGINT) AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+            sha256(t) AS restored_sha256
+        FROM parts""",
 }
