@@ -19,7 +19,9 @@ from .packing import pack
 from .secret_scan import secret_scan
 from .suffix_dedup import suffix_dedup, suffix_digest
 from .token_counts import token_counts
+from .threshold_search import top_k
 from .toxicity import held_out, learn, score
+from .yinyang_codes import code_digest
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -69,6 +71,14 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(sniff_media(texts_to_media(table(spark, sf_dir, "documents"))))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim_digest(fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -84,10 +94,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_media_columns": op10_media_columns,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_top_k": op12_top_k,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
+def _codes_sql(rounds: int = 4) -> str:
+    """Lloyd's rounds one after the other, by full scans."""
+    dealt = """at{n} AS MATERIALIZED (
+            SELECT v.vec_id, v.part, v.v, min(struct_pack(d := list_sum([CAST((v.v[j] - b.c[j]) * (v.v[j] - b.c[j]) AS BIGINT) FOR j IN range(1, len(v.v) + 1)]), k := b.k)) AS best
+            FROM parts v JOIN book{n} b ON v.part = b.part GROUP BY v.vec_id, v.part, v.v)"""
+    means = """means{n} AS (
+            SELECT part, k, list(m ORDER BY j) AS c
+            FROM (SELECT part, best.k AS k, j, CAST(floor(sum(v[j])::DOUBLE / count(*)) AS BIGINT) AS m FROM at{n}, unnest(range(1, len(v) + 1)) AS u(j) GROUP BY ALL) GROUP BY ALL),
+        book{m} AS MATERIALIZED (SELECT b.part, b.k, coalesce(m.c, b.c) AS c FROM book{n} b LEFT JOIN means{n} m ON m.part = b.part AND m.k = b.k)"""
+    steps = [x.format(n=n, m=n + 1) for n in range(rounds) for x in (dealt, means)] + [dealt.format(n=rounds)]
+    return f"""
+        WITH fine AS (
+            SELECT vec_id, label, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v, row_number() OVER (ORDER BY vec_id) - 1 AS k
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        parts AS MATERIALIZED (SELECT vec_id, k, p AS part, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS v FROM fine, range(4) AS r(p)),
+        book0 AS (SELECT part, k, v AS c FROM parts WHERE k < 256),
+        {", ".join(steps)},
+        coded AS (SELECT vec_id, string_agg(printf('%02x', best.k), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM at{rounds} GROUP BY vec_id)
+        SELECT c.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY f.label) AS BIGINT) AS label_error,
+            (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, k)) FROM book{rounds}) AS codebooks_sha256
+        FROM coded c JOIN fine f USING (vec_id)"""
+
+
 SQL: dict[str, str] = {
+    "op11_vector_codes": _codes_sql(),
+    "op12_top_k": r"""
+        WITH fine AS (
+            SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS v
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+            FROM fine q JOIN fine c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, CAST(row_number() OVER o AS INTEGER) AS rank, vec_id, score
+        FROM scored WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER o <= 5""",
     "op2_line_dedup": r"""
         WITH parts AS (
             SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split(regexp_replace(coalesce(text, ''), '(\n|[.!?] )', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS u
