@@ -308,6 +308,16 @@ HYBRID = f"""{SECOND}, top50 AS (SELECT doc_id, score FROM hits2 QUALIFY row_num
     best AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM anew QUALIFY rank <= 10)"""
 ORACLES["hybrid_search"] = f"{HYBRID} SELECT doc_id, {units('score')} AS score_fp, rank FROM best"
 ORACLES["explain_search"] = f"{HYBRID} SELECT b.doc_id, {units('coalesce(h.score, 0)')} AS bm25_fp, {units('coalesce(c.score, 0)')} AS semantic_fp, rank FROM best b LEFT JOIN hits h ON h.doc_id = b.doc_id LEFT JOIN cosines c ON c.doc_id = b.doc_id"
+ORACLES["vector_store"] = """
+    WITH e AS (SELECT vec_id AS doc_id, embedding FROM embeddings WHERE embedding IS NOT NULL),
+    added AS (
+        SELECT 1 AS seq, doc_id, embedding FROM e UNION ALL SELECT 2, doc_id, list_reverse(embedding) FROM e WHERE doc_id % 3 = 0
+        UNION ALL SELECT 3, doc_id + 1000000, embedding FROM e WHERE doc_id % 5 = 0),
+    live AS (SELECT doc_id, arg_max(embedding, seq) AS embedding FROM added GROUP BY doc_id),
+    wanted AS (SELECT doc_id FROM labels UNION ALL SELECT doc_id + 1000000 FROM e WHERE doc_id % 10 = 0)
+    SELECT w.doc_id, array_to_string([CAST(CAST(round(CAST(x AS DOUBLE) * 1e6) AS BIGINT) AS VARCHAR) FOR x IN embedding], ',') AS vector,
+        (SELECT count(*) FROM added) AS appended, (SELECT count(*) FROM live) AS total_vectors, (SELECT CAST(max(len(embedding)) AS BIGINT) FROM live) AS dimension
+    FROM wanted w LEFT JOIN live USING (doc_id)"""
 KINDS = "CASE WHEN n > 500000 THEN 'ivf_pq' WHEN n > 10000 THEN 'hnsw' ELSE 'flat' END"
 ORACLES["index_kind"] = f"SELECT name, n, {KINDS} AS kind FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("embeddings", "documents", "events", "lineitem", "region")) + ")"
 

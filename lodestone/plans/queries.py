@@ -14,6 +14,8 @@ from lodestone.operators import catalog, context, graph, ltr, memory, metrics, v
 from lodestone.operators import index as ix
 from lodestone.operators import retrieval as rt
 from lodestone.operators.expansion import expand_queries
+from lodestone.operators.neighbour_graph import NeighbourGraph
+from lodestone.operators.vector_store import StoredIvfPq, VectorStore
 from lodestone.plans import search as plans
 from lodestone.sources import readers, shared, writers
 
@@ -413,6 +415,58 @@ def lsh_search(spark: SparkSession, d: str) -> DataFrame:
     return vectors.lsh_knn(vectors_of(spark, d), query_vector(spark, d), 10).select("doc_id", "score", "rank")
 
 
+class VectorIndexes:
+    """The neighbour graph and the IVF-PQ index of embeddings: made once for an application and a state of the table, then read."""
+
+    _made: dict[tuple, str] = {}
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.spark, self.vectors = spark, vectors_of(spark, d).select("doc_id", "embedding")
+        self.key = (spark.sparkContext.applicationId, d, shared.state_of(spark, f"{d}/embeddings.parquet"))
+        self.queries = self.vectors.where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), "embedding")
+
+    def _folder(self, kind: str, make: Callable[[str], object]) -> str:
+        if (kind, *self.key) not in self._made:
+            folder = shared.fresh_folder(self.spark, kind)
+            make(folder)
+            self._made[kind, *self.key] = folder
+        return self._made[kind, *self.key]
+
+    def graph(self) -> NeighbourGraph:
+        return NeighbourGraph.load(self.spark, self._folder("graph", lambda f: NeighbourGraph.build(self.vectors).save(f)))
+
+    def ivf_pq(self) -> StoredIvfPq:
+        return StoredIvfPq.load(self.spark, self._folder("ivf-pq", lambda f: StoredIvfPq.build(self.vectors, f)))
+
+
+@registered
+def graph_search(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate neighbours of every id divisible by 100, by the stored graph."""
+    own = VectorIndexes(spark, d)
+    return own.graph().search(own.queries, 10)
+
+
+@registered
+def ivf_pq_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The same queries by the stored IVF-PQ index."""
+    own = VectorIndexes(spark, d)
+    return own.ivf_pq().search(own.queries, 10)
+
+
+@registered
+def vector_store(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors added, some of them again with another value; what get gives for the ids of labels."""
+    own = vectors_of(spark, d).select("doc_id", "embedding")
+    store = VectorStore(spark, shared.fresh_folder(spark, "vectors"))
+    store.add_batch(own)
+    store.add_batch(own.where("doc_id % 3 = 0").select("doc_id", F.reverse("embedding").alias("embedding")))
+    store.add_batch(own.where("doc_id % 5 = 0").select((F.col("doc_id") + 1_000_000).alias("doc_id"), "embedding"))
+    wanted = table(spark, d, "labels").select("doc_id").unionByName(own.where("doc_id % 10 = 0").select((F.col("doc_id") + 1_000_000).alias("doc_id")))
+    text_of = F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 1e6).cast("bigint").cast("string")), ",")
+    info = store.info()
+    return store.get(wanted).withColumns({c: info.select(c).scalar() for c in ("appended", "total_vectors", "dimension")}).select("doc_id", text_of.alias("vector"), "appended", "total_vectors", "dimension")
+
+
 @registered
 def index_kind(spark: SparkSession, d: str) -> DataFrame:
     counts = [table(spark, d, name).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name in ("embeddings", "documents", "events", "lineitem", "region")]

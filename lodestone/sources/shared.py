@@ -57,3 +57,22 @@ def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or fresh_folder(spark, "table")
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in whatever file system the path is in."""
+    at, files = _path(spark, path)
+    out = files.create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    at, files = _path(spark, path)
+    source = files.open(at)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
