@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.retrieval import placed
+from lodestone.sources.commit_log import Taken, claimed, next_number
+from lodestone.sources.shared import made_folder, read_text
 
 # The columns of the catalog's tables.
 SNAPSHOTS = "snapshot_id long, version long, parent_id long, created_at double, description string, files_added long, files_removed long"
@@ -99,26 +101,29 @@ def drop_column(df: DataFrame, name: str) -> DataFrame:
 class Catalog:
     """The catalog's tables under one folder; every change is a file of its own that is added.
 
-    Nothing is rewritten, so readers and writers do not disturb each other and a job that
-    is run again adds the same batch once.
+    Nothing is rewritten. Snapshot ids are claimed, so no two writers get the same one, and a
+    transaction ends once: who commits and who rolls it back claim the same file, and the later
+    one fails. A writer that was taken for dead can therefore not commit any more.
     """
 
     KINDS = {"snapshots": SNAPSHOTS, "files": FILES, "batches": BATCHES, "schemas": SCHEMAS, "journal": "tx_id string, state string, batch_id string, file_count long, created_at double"}
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        for kind, schema in self.KINDS.items():
-            spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.root}/{kind}")
+        for kind in self.KINDS:
+            made_folder(spark, f"{self.root}/{kind}")
 
     def table(self, kind: str) -> DataFrame:
-        return self.spark.read.schema(self.KINDS[kind]).parquet(f"{self.root}/{kind}")
+        names = [c.split()[0] for c in self.KINDS[kind].split(", ")]
+        return self.spark.read.schema(self.KINDS[kind]).parquet(f"{self.root}/{kind}").select(*names)
 
     def _add(self, kind: str, *rows: tuple) -> None:
-        self.spark.createDataFrame(list(rows), self.KINDS[kind]).coalesce(1).write.mode("append").parquet(f"{self.root}/{kind}")
+        # a folder for each change: writers to one folder would remove each other's temporary files
+        self.spark.createDataFrame(list(rows), self.KINDS[kind]).coalesce(1).write.parquet(f"{self.root}/{kind}/change={uuid.uuid4().hex}")
 
     def create_snapshot(self, now: float, description: str = "", added: int = 0, removed: int = 0) -> int:
         top = self.table("snapshots").agg(F.max("snapshot_id"), F.max("version")).first()
-        snapshot = (top[0] or 0) + 1
+        snapshot = next_number(self.spark, f"{self.root}/_snapshot_ids", (top[0] or 0) + 1)
         self._add("snapshots", (snapshot, (top[1] or 0) + 1, top[0], now, description, added, removed))
         return snapshot
 
@@ -159,35 +164,50 @@ class Catalog:
         self._add("journal", (tx, "pending", batch_id, 0, now))
         return tx
 
+    def _end(self, tx: str, state: str) -> bool:
+        """Ends a transaction in one way or the other; whoever comes later gets False if it is the other way."""
+        path = f"{self.root}/_ended/{tx}"
+        return claimed(self.spark, path, state) or read_text(self.spark, path) == state
+
     def commit(self, tx: str, batch_id: str, snapshot_id: int, files: list[tuple[str, int]], now: float) -> None:
+        if not self._end(tx, "committed"):
+            raise Taken(f"transaction {tx} was rolled back")
         self.add_files(snapshot_id, files, now, batch_id)
         self.log_batch(batch_id, "committed", len(files), now)
         self._add("journal", (tx, "committed", batch_id, len(files), now))
 
     def rollback(self, tx: str, batch_id: str, now: float) -> None:
+        if not self._end(tx, "rolled back"):
+            raise Taken(f"transaction {tx} was committed")
         self._add("journal", (tx, "rolled back", batch_id, 0, now))
 
     def pending(self) -> DataFrame:
         ended = self.table("journal").where("state <> 'pending'").select("tx_id")
         return self.table("journal").where("state = 'pending'").join(ended, "tx_id", "left_anti")
 
-    def recover(self, now: float) -> list[str]:
-        """Ends all pending transactions; the ids of batches among them that were committed."""
-        open_ = self.pending().collect()  # one row for each writer that died
+    def recover(self, now: float, *, idle: float = 0.0) -> list[str]:
+        """Ends transactions that are pending and began `idle` seconds ago or earlier; the ids of batches among them that were committed."""
+        open_ = self.pending().where(F.col("created_at") <= now - idle).collect()  # one row for each writer that died
         for r in open_:
-            self.rollback(r.tx_id, r.batch_id, now)
+            try:
+                self.rollback(r.tx_id, r.batch_id, now)
+            except Taken:  # its writer died, or still is, between the end of the transaction and its journal
+                continue
         return [r.batch_id for r in open_ if self.batch_exists(r.batch_id)]
 
 
 class Versions:
-    """Versions of tables as folders, and a pointer that says which one is current."""
+    """Versions of tables as folders, and a pointer that says which one is current.
+
+    Version numbers and places in the manifest are claimed, so that no two writers share one.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     def _manifest(self) -> DataFrame | None:
         try:
-            return self.spark.read.schema("seq long, version long, action string").parquet(f"{self.root}/_manifest")
+            return self.spark.read.schema("seq long, version long, action string").parquet(f"{self.root}/_manifest").select("seq", "version", "action")
         except Exception as e:  # the first version is yet to come
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -195,8 +215,8 @@ class Versions:
 
     def _log(self, version: int, action: str) -> None:
         m = self._manifest()
-        seq = 1 + ((m.agg(F.max("seq")).first()[0] or 0) if m is not None else 0)
-        self.spark.createDataFrame([(seq, version, action)], "seq long, version long, action string").coalesce(1).write.mode("append").parquet(f"{self.root}/_manifest")
+        seq = next_number(self.spark, f"{self.root}/_seqs", 1 + ((m.agg(F.max("seq")).first()[0] or 0) if m is not None else 0))
+        self.spark.createDataFrame([(seq, version, action)], "seq long, version long, action string").coalesce(1).write.parquet(f"{self.root}/_manifest/change={seq}")
 
     def list(self) -> list[int]:
         m = self._manifest()
@@ -207,7 +227,7 @@ class Versions:
         return None if m is None else m.agg(F.max_by("version", "seq")).first()[0]
 
     def create(self, **tables: DataFrame) -> int:
-        version = max(self.list(), default=0) + 1
+        version = next_number(self.spark, f"{self.root}/_versions", max(self.list(), default=0) + 1)
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.root}/version={version}/{name}")
         self._log(version, "create")

@@ -119,7 +119,7 @@ def training_candidates(lexical: DataFrame, semantic: DataFrame, per_query: int
 def train(features: DataFrame, *, label: str = "label", held_out: float = 0.2, seed: int = 7) -> tuple[object, float]:
     """A boosted regression on graded labels, chosen from a grid by its error on held-out queries.
 
-    Pointwise: the library has no listwise learner. Queries are dealt by a hash of qid.
+    Pointwise; lambdamart has the listwise learner. Queries are dealt by a hash of qid.
     """
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.regression import GBTRegressor

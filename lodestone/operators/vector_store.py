@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.scoring import dot
-from lodestone.sources.shared import fresh_folder, read_text, stored, write_text
+from lodestone.sources.commit_log import next_number
+from lodestone.sources.shared import fresh_folder, made_folder, read_text, stored, write_text
 
 #: Bytes of look-up tables that are sent at once, and of rows in a batch to Python; scores that are held at once.
 TABLE_BYTES, BATCH_BYTES, SCORES = 8 << 20, 4 << 20, 1 << 21
@@ -232,31 +233,34 @@ class VectorStore:
 
     def __init__(self, spark: SparkSession, root: str, *, precision: str = "f32", model: Model | None = None):
         self.spark, self.root, self.precision, self.model = spark, root.rstrip("/"), precision, model
-        spark.createDataFrame([], self.SCHEMA[precision]).write.mode("ignore").parquet(f"{self.root}/rows")
+        made_folder(spark, f"{self.root}/rows")
+        write_text(spark, f"{self.root}/precision", precision)
         if model is not None:
             write_text(spark, f"{self.root}/model.json", model.to_json())
 
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> VectorStore:
-        kind = "pq" if "codes" in spark.read.parquet(f"{root.rstrip('/')}/rows").columns else "f32"
+        kind = read_text(spark, f"{root.rstrip('/')}/precision")
         return cls(spark, root, precision=kind, model=Model.from_json(read_text(spark, f"{root.rstrip('/')}/model.json")) if kind == "pq" else None)
 
     def _rows(self) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA[self.precision]).parquet(f"{self.root}/rows")
+        return self.spark.read.schema(self.SCHEMA[self.precision]).parquet(f"{self.root}/rows").select(*self._names())
+
+    def _names(self) -> list[str]:
+        return [c.split()[0] for c in self.SCHEMA[self.precision].split(", ")]
 
     def add(self, doc_id: int, embedding: list[float]) -> None:
         self.add_batch(self.spark.createDataFrame([(doc_id, embedding)], "doc_id long, embedding array<float>"))
 
     def add_batch(self, docs: DataFrame) -> None:
-        """Adds docs (doc_id, embedding); a known id gets a new vector. One writer at a time."""
+        """Adds docs (doc_id, embedding); a known id gets a new vector. Calls have numbers of their own, so writers don't disturb each other."""
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast("array<float>").alias("embedding")).where("embedding is not null")
         if self.precision == "pq":
             if self.model is None:
                 raise ValueError("a store of codes needs a model before rows are added")
             rows = StoredIvfPq(self.spark, self.root, self.model)._coded(rows, True, homes=1)
-        seq = (self._rows().agg(F.max("seq")).first()[0] or 0) + 1
-        names = [c.split()[0] for c in self.SCHEMA[self.precision].split(", ")]
-        rows.withColumn("seq", F.lit(seq).cast("long")).select(*names).write.mode("append").parquet(f"{self.root}/rows")
+        seq = next_number(self.spark, f"{self.root}/_seqs")
+        rows.withColumn("seq", F.lit(seq).cast("long")).select(*self._names()).write.parquet(f"{self.root}/rows/call={seq}")
 
     def live(self) -> DataFrame:
         """The last row of each id."""

@@ -14,6 +14,7 @@ from lodestone.operators import catalog, context, graph, ltr, memory, metrics, v
 from lodestone.operators import index as ix
 from lodestone.operators import retrieval as rt
 from lodestone.operators.expansion import expand_queries
+from lodestone.operators.lambdamart import train_listwise
 from lodestone.operators.neighbour_graph import NeighbourGraph
 from lodestone.operators.vector_store import StoredIvfPq, VectorStore
 from lodestone.plans import search as plans
@@ -542,6 +543,25 @@ def ltr_model(spark: SparkSession, d: str) -> DataFrame:
     return ltr.rerank(rows.drop("label"), K, model).select("doc_id", "rank")
 
 
+def batch_features(spark: SparkSession, d: str) -> DataFrame:
+    """Features and training labels of the candidates of all benchmark items: the best 20 by BM25, then by full text."""
+    t, q = Tables(spark, d), batch(spark, d)
+    hits = t.bm25(q)
+    full_text = rt.ranked(rt.fts(rt.query_terms(q), t.posted, t.lengths, t.stats), 20)
+    some = ltr.training_candidates(rt.bm25_ranked(hits, 20), full_text)
+    rows = some.join(hits.select("qid", "doc_id", F.col("score").alias("bm25")), ["qid", "doc_id"], "left").withColumns({"bm25": F.coalesce("bm25", F.lit(0.0)), "semantic": F.lit(0.0), "graph_score": F.lit(0.0)})
+    made = ltr.extract_features(rows, t.docs, q.select("qid", "query", text.parse_query("query").alias("tokens")), t.terms, t.stats)
+    return made.join(some.select("qid", "doc_id", "label"), ["qid", "doc_id"])
+
+
+@registered
+def ltr_listwise(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of all benchmark items, ranked by a model learnt from lambda gradients."""
+    rows = shared.stored(batch_features(spark, d))
+    model, _ = train_listwise(rows, list(ltr.FEATURES), rounds=16)
+    return ltr.rerank(rows, 10, model).select("qid", "doc_id", "rank")
+
+
 @registered
 def cross_encoder(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)

@@ -18,6 +18,7 @@ from lodestone.operators.expansion import expand_queries
 from lodestone.operators.graph import graph_score
 from lodestone.operators.ltr import extract_features, rerank
 from lodestone.operators.memory import boosted_by_memory
+from lodestone.sources.commit_log import CommitLog
 from lodestone.sources.shared import fresh_folder, stored
 from lodestone.operators.retrieval import bm25, bm25_ranked, column_filter, fts, fts_boosted, query_terms, ranked, scatter_gather
 
@@ -66,8 +67,13 @@ class Index:
         return root
 
     @classmethod
-    def load(cls, spark, root: str, **more: object) -> Index:  # noqa: ANN001
-        read = lambda name: spark.read.parquet(f"{root}/{name}")
+    def load(cls, spark, root: str, *, version: int | None = None, **more: object) -> Index:  # noqa: ANN001
+        """The tables in root, or those of one commit of a built index (the last by default), with its vectors and graph."""
+        state = CommitLog(spark, root).state(version)
+        tables = state["tables"] if state else {}
+        read = lambda name: spark.read.parquet(f"{root}/{tables.get(name, name)}")
+        kept = {"embeddings": "embeddings", "dual": "dual_embeddings", "nodes": "graph_nodes", "edges": "graph_edges", "fts_postings": "fts_postings"}
+        more = {**{field: read(name) for field, name in kept.items() if name in tables}, **more}
         return cls(read("documents"), read("postings"), read("title_postings"), read("doc_lengths"), read("stats"), read("terms"), **more)
 
 

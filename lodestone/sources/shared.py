@@ -45,6 +45,17 @@ def removed(spark: SparkSession, folder: str) -> None:
     files.delete(path, True)
 
 
+def made_folder(spark: SparkSession, folder: str) -> None:
+    path, files = _path(spark, folder)
+    files.mkdirs(path)
+
+
+def folders(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the folders in a folder."""
+    path, files = _path(spark, folder)
+    return sorted(f.getPath().getName() for f in files.listStatus(path) if f.isDirectory())
+
+
 def state_of(spark: SparkSession, folder: str) -> tuple[int, int]:
     """Bytes in a folder or file and its last change: tells whether it is still what was read."""
     path, files = _path(spark, folder)

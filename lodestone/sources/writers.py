@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from lodestone.functions.text import chunk_id, chunk_text, first_line, in_domain
 from lodestone.operators import index as ix
 from lodestone.operators import vectors
 from lodestone.operators.catalog import Catalog
+from lodestone.operators.vector_store import StoredIvfPq
+from lodestone.sources.commit_log import CommitLog, Taken
+from lodestone.sources.shared import folders, removed, stored
 
 
 def write_postings(posted: DataFrame, path: str) -> None:
@@ -44,11 +49,16 @@ def build_index(
 ) -> bool:
     """Writes all tables of an index below root; False if the batch was committed before.
 
-    The batch is looked up before a snapshot is made, and its files enter the catalog once.
+    Tables are written to a folder of their own; one commit then makes them the index, so that
+    readers of an older commit, or after a build that died, have the tables they had. Of two
+    builds of one batch the later to commit gives way. pq_only keeps codes of the vectors in place
+    of the vectors (table ivf_pq).
     """
-    catalog = Catalog(spark, f"{root}/catalog")
-    if not catalog.should_write(batch_id):
+    log, catalog = CommitLog(spark, root), Catalog(spark, f"{root}/catalog")
+    if not catalog.should_write(batch_id) or batch_id and batch_id in (log.state() or {"batches": []})["batches"]:
         return False
+    build = f"builds/{uuid.uuid4().hex}"
+    top, root = root.rstrip("/"), f"{root.rstrip('/')}/{build}"
     tx = catalog.begin(batch_id, now)
     docs = docs.withColumn("title", F.coalesce(F.col("title"), F.lit(""))) if "title" in docs.columns else docs.withColumn("title", first_line("text"))
     if "url" not in docs.columns:
@@ -71,7 +81,9 @@ def build_index(
         embedded = vectors.quantize_f16(embedded)
     if precision == "i8":
         write_table(vectors.quantize_i8(embedded), f"{root}/embeddings_i8")
-    if not pq_only:
+    if pq_only:
+        StoredIvfPq.build(stored(embedded), f"{root}/ivf_pq", pq_only=True)
+    else:
         write_table(embedded, f"{root}/embeddings")
     if use_dual:
         texts = vectors.dual_texts(chunks.withColumn("summary", F.col("title")))
@@ -85,6 +97,19 @@ def build_index(
         write_table(nodes, f"{root}/graph_nodes")
         write_table(edges, f"{root}/graph_edges")
     n = chunks.count()
+
+    def change(state: dict) -> dict:
+        if batch_id and batch_id in state["batches"]:
+            raise Taken(batch_id)
+        return {"tables": {name: f"{build}/{name}" for name in names}, "batches": [*state["batches"], *([batch_id] if batch_id else [])]}
+
+    names = folders(spark, root)
+    try:
+        log.commit(change)
+    except Taken:
+        catalog.rollback(tx, batch_id, now)
+        removed(spark, root)
+        return False
     snapshot = catalog.create_snapshot(now, f"batch {batch_id}" if batch_id else "build", added=1)
-    catalog.commit(tx, batch_id, snapshot, [(f"{root}/documents", n)], now)
+    catalog.commit(tx, batch_id, snapshot, [(f"{top}/{build}/documents", n)], now)
     return True

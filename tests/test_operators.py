@@ -188,7 +188,8 @@ def test_build_search_and_stream(spark, docs, tmp_path):
     root = str(tmp_path / "index")
     assert writers.build_index(spark, docs, root, now=1.0, batch_id="b", use_dual=True, use_fts=True, precision="i8", dim=16)
     assert not writers.build_index(spark, docs, root, now=2.0, batch_id="b")
-    index = plans.Index.load(spark, root, embeddings=spark.read.parquet(f"{root}/embeddings"), dual=spark.read.parquet(f"{root}/dual_embeddings"))
+    index = plans.Index.load(spark, root)
+    assert index.embeddings is not None and index.dual is not None and index.fts_postings is not None
     vector = [1.0] + [0.0] * 15
     # titles of near candidates widen the query, so the other document may follow
     assert values(plans.search(index, "whale", 5, vector=vector, use_fts=True, use_dual=True).orderBy("rank"), "doc_id")[0] == "2_0"
