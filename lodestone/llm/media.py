@@ -23,8 +23,11 @@ import hashlib
 import re
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,7 +56,80 @@ PDF_END = re.compile(rb"startxref\s+(\d{1,18})\s+%%EOF\s*")
 PDF_TABLE = re.compile(rb"xref\b|\d+\s+\d+\s+obj\b")
 
 
-def wav_length(b: bytes, at: int) -> int:
+class Ends:
+    """The end marks of a payload, each kind looked for once, however many starts ask for it."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.tables: dict[int, int] = {}
+
+    def places(self, mark: bytes) -> list[int]:
+        return [m.start() for m in re.finditer(re.escape(mark), self.data)]
+
+    @cached_property
+    def jpeg(self) -> list[int]:
+        return self.places(b"\xff\xd9")
+
+    @cached_property
+    def zip(self) -> dict[int, int]:
+        """Where an archive starts by the offsets of an end record, and the end of the first such record."""
+        out: dict[int, int] = {}
+        for end in self.places(b"PK\x05\x06"):
+            if end > len(self.data) - 22:
+                break
+            size, offset, comment = struct.unpack_from("<IIH", self.data, end + 12)
+            if end + 22 + comment <= len(self.data):
+                out.setdefault(end - offset - size, end + 22 + comment)
+        return out
+
+    @cached_property
+    def pdf_headers(self) -> list[int]:
+        return self.places(b"%PDF-")
+
+    @cached_property
+    def pdf(self) -> tuple[list[int], list[int]]:
+        """Starts and ends of end marks."""
+        marks = [(m.start(), m.end()) for m in PDF_END.finditer(self.data)]
+        return [m[0] for m in marks], [m[1] for m in marks]
+
+    @cached_property
+    def pdf_offsets(self) -> tuple[np.ndarray, list[list[int]]]:
+        """The offsets that end marks name, falling, and the marks (by number) of each."""
+        marks: dict[int, list[int]] = {}
+        for n, m in enumerate(PDF_END.finditer(self.data)):
+            marks.setdefault(min(int(m[1]), len(self.data)), []).append(n)
+        falling = sorted(marks, reverse=True)
+        return np.array(falling, np.int64), [marks[o] for o in falling]
+
+    @cached_property
+    def may_be_table(self) -> np.ndarray:
+        """Of each byte whether a cross-reference table or an object may begin with it."""
+        first = np.zeros(256, bool)
+        first[list(b"x0123456789")] = True
+        return first[np.frombuffer(self.data, np.uint8)]
+
+    def table_end(self, at: int) -> int:
+        """Where the beginning of a table or an object at this place is complete; past the payload if there is none."""
+        if at not in self.tables:
+            m = PDF_TABLE.match(self.data, at)
+            self.tables[at] = m.end() if m else len(self.data) + 1
+        return self.tables[at]
+
+    def next_of(self, at: int, end: int, n: int) -> int | None:
+        """The first end mark from number n on that leads from a start to a table after `end` and before the mark."""
+        offsets, marks = self.pdf_offsets
+        places = at + offsets[: np.searchsorted(-offsets, at - end, side="right")]
+        found = None
+        for k in np.flatnonzero((places < len(self.data)) & self.may_be_table[np.minimum(places, len(self.data) - 1)]).tolist():
+            complete = self.table_end(int(places[k]))
+            if complete < len(self.data):
+                nth = bisect_left(marks[k], max(n, bisect_left(self.pdf[0], complete)))
+                if nth < len(marks[k]) and (found is None or marks[k][nth] < found):
+                    found = marks[k][nth]
+        return found
+
+
+def wav_length(b: bytes, at: int, ends: Ends) -> int:
     """Bytes of the sound at this place, 0 if there is none; so for the other formats."""
     if b[at + 8 : at + 16] != b"WAVEfmt " or len(b) < at + 44:
         return 0
@@ -65,7 +141,7 @@ def wav_length(b: bytes, at: int) -> int:
     return size if data + 8 + struct.unpack_from("<I", b, data + 4)[0] <= at + size else 0
 
 
-def bmp_length(b: bytes, at: int) -> int:
+def bmp_length(b: bytes, at: int, ends: Ends) -> int:
     if len(b) < at + 54:
         return 0
     size, zero, offset, header, width, height, planes, bits = struct.unpack_from("<IIIIiiHH", b, at + 2)
@@ -75,12 +151,12 @@ def bmp_length(b: bytes, at: int) -> int:
     return size if offset >= 54 and offset + rows <= size and at + size <= len(b) else 0
 
 
-def png_length(b: bytes, at: int) -> int:
+def png_length(b: bytes, at: int, ends: Ends) -> int:
     k = at + 8
     while k + 12 <= len(b):
         n = struct.unpack_from(">I", b, k)[0]
         kind = b[k + 4 : k + 8]
-        if k + 12 + n > len(b) or (k == at + 8 and kind != b"IHDR"):
+        if k + 12 + n > len(b) or (k == at + 8 and (kind != b"IHDR" or n != 13)):
             return 0
         if zlib.crc32(b[k + 4 : k + 8 + n]) != struct.unpack_from(">I", b, k + 8 + n)[0]:
             return 0
@@ -90,7 +166,7 @@ def png_length(b: bytes, at: int) -> int:
     return 0
 
 
-def gif_length(b: bytes, at: int) -> int:
+def gif_length(b: bytes, at: int, ends: Ends) -> int:
     if len(b) < at + 14:
         return 0
 
@@ -112,31 +188,25 @@ def gif_length(b: bytes, at: int) -> int:
     return 0
 
 
-def jpeg_length(b: bytes, at: int) -> int:
+def jpeg_length(b: bytes, at: int, ends: Ends) -> int:
     k = at + 2
     while k + 4 <= len(b) and b[k] == 0xFF:
         n = struct.unpack_from(">H", b, k + 2)[0]
         if n < 2:
             return 0
         if b[k + 1] == 0xDA:
-            end = b.find(b"\xff\xd9", k + 2 + n)
-            return end + 2 - at if end >= 0 else 0
+            nth = bisect_left(ends.jpeg, k + 2 + n)
+            return ends.jpeg[nth] + 2 - at if nth < len(ends.jpeg) else 0
         k += 2 + n
     return 0
 
 
-def zip_length(b: bytes, at: int) -> int:
+def zip_length(b: bytes, at: int, ends: Ends) -> int:
     """Up to the first end record that fits its own offsets: stored archives have end records of their own before it."""
-    end = b.find(b"PK\x05\x06", at)
-    while 0 <= end <= len(b) - 22:
-        size, offset, comment = struct.unpack_from("<IIH", b, end + 12)
-        if at + offset + size == end and end + 22 + comment <= len(b):
-            return end + 22 + comment - at
-        end = b.find(b"PK\x05\x06", end + 4)
-    return 0
+    return max(0, ends.zip.get(at, 0) - at)
 
 
-def gzip_length(b: bytes, at: int) -> int:
+def gzip_length(b: bytes, at: int, ends: Ends) -> int:
     d = zlib.decompressobj(31)
     try:
         data = memoryview(b)[at:]
@@ -148,21 +218,29 @@ def gzip_length(b: bytes, at: int) -> int:
     return len(b) - at - len(d.unused_data) if d.eof else 0
 
 
-def pdf_length(b: bytes, at: int) -> int:
+def pdf_length(b: bytes, at: int, ends: Ends) -> int:
     """Up to the last end mark of this file, and the white space after it.
 
     Updates append further end marks. Past another header an end mark is this file's only if
     its startxref leads to a table or object that was appended too.
     """
-    end = 0
-    for m in PDF_END.finditer(b, at):
-        table = at + int(m[1])
-        if not end or b.find(b"%PDF-", end, m.start()) < 0 or (table >= end and PDF_TABLE.match(b, table, m.start())):
-            end = m.end()
+    starts, stops = ends.pdf
+    n, end = bisect_left(starts, at), 0
+    while n < len(starts):
+        if not end or bisect_left(ends.pdf_headers, end) == bisect_right(ends.pdf_headers, starts[n] - len("%PDF-")):
+            # up to the next header all end marks are this file's
+            header = bisect_left(ends.pdf_headers, stops[n])
+            n = bisect_left(starts, ends.pdf_headers[header]) if header < len(ends.pdf_headers) else len(starts)
+            end = stops[n - 1]
+            continue
+        taken = ends.next_of(at, end, n)
+        if taken is None:
+            break
+        end, n = stops[taken], taken + 1
     return end - at if end else 0
 
 
-VALIDATORS: dict[str, Callable[[bytes, int], int]] = {
+VALIDATORS: dict[str, Callable[[bytes, int, Ends], int]] = {
     "audio/wav": wav_length,
     "image/bmp": bmp_length,
     "image/png": png_length,
@@ -188,12 +266,12 @@ def automaton():
 
 def carve(data: bytes) -> list[tuple[int, int, str, int | None]]:
     """(start, length, type, start of the parent) of all confirmed media by start; the parent is None for those that lie in no other."""
-    found, around = [], []
+    found, around, ends = [], [], Ends(data)
     for last, (n, kind) in automaton().iter(data.decode("latin-1")):
         at = last + 1 - n
         while around and around[-1][1] <= at:
             around.pop()
-        length = VALIDATORS[kind](data, at)
+        length = VALIDATORS[kind](data, at, ends)
         if length and (not around or at + length <= around[-1][1]):
             found.append((at, length, kind, around[-1][0] if around else None))
             around.append((at, at + length))
