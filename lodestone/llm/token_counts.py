@@ -2,7 +2,7 @@
 
 A text longer than chunk_chars is encoded as chunks that overlap. Two neighbouring
 encodings are spliced at a position of the overlap where a token starts in both and the
-character before it is white space. Such a boundary is stable whatever stands on either
+character before it is white space to the vocabulary (to Python U+001C to U+001F are, too). Such a boundary is stable whatever stands on either
 side: no piece of this tokenizer and no special string holds white space, and
 normalisation does not compose across it. Where an overlap has no such position, it is
 widened, twofold each time, and at last the chunks become one.
@@ -33,7 +33,7 @@ def common_boundary(text: str, left: np.ndarray, right: np.ndarray, low: int, hi
     """The last position in (low, high) that starts a token in both encodings after white space."""
     both = np.intersect1d(left, right)
     for at in both[(both > low) & (both < high)][::-1].tolist():
-        if text[at - 1].isspace():
+        if text[at - 1].isspace() and not "\x1c" <= text[at - 1] <= "\x1f":
             return at
     return None
 
