@@ -187,8 +187,9 @@ def surroundings(docs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
     """Every anchor with key, l from low to high, and the bytes around it; those settled here have a random key and low -1."""
     reach = length // 2
     core = length - reach + 1
-    lists = anchors.groupBy(*PLACE).agg(F.collect_list("packed").alias("packed"), F.collect_list("many").alias("many"))
-    joined = docs.join(lists, PLACE).select(*PLACE, "text", "packed", "many")
+    # equal rows have equal anchors: each stands once in the list that all of them get
+    lists = anchors.groupBy(*PLACE).agg(F.collect_set(F.col("packed") * 2 + F.col("many").cast("int")).alias("packed"))
+    joined = docs.join(lists, PLACE).select(*PLACE, "text", "packed")
 
     def of_slice(part: pa.RecordBatch) -> list:
         """The columns of AROUND but for the bytes, the hash of all bytes around, whether settled before, the buffer, and where the bytes stand in it."""
@@ -197,11 +198,14 @@ def surroundings(docs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
         counts = pa.compute.list_value_length(part.column(3)).to_numpy(zero_copy_only=False)
         doc = np.repeat(np.arange(part.num_rows), counts)
         packed = part.column(3).flatten().to_numpy()
-        many = part.column(4).flatten().to_numpy(zero_copy_only=False)
-        by = np.lexsort((packed, doc))  # lists come in the order in which blocks arrived
-        packed, many = packed[by], many[by]
+        packed, many = packed >> 1, packed & 1 == 1
         settled = packed < 0
         packed = np.where(settled, -1 - packed, packed)
+        by = np.lexsort((~many, settled, packed, doc))  # lists come in any order
+        doc, packed, settled, many = doc[by], packed[by], settled[by], many[by]
+        once = np.ones(len(doc), bool)  # of an anchor that is settled in some of the equal rows only, the one that goes on
+        once[1:] = (doc[1:] != doc[:-1]) | (packed[1:] != packed[:-1])
+        doc, packed, settled, many = doc[once], packed[once], settled[once], many[once]
         buf = b"".join(texts)
         low, high, anchor = packed >> 8 & 255, packed & 255, (packed >> 16) + bounds[doc]
         hashes = Hashes(np.frombuffer(buf, np.uint8))
