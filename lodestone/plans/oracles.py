@@ -308,6 +308,8 @@ HYBRID = f"""{SECOND}, top50 AS (SELECT doc_id, score FROM hits2 QUALIFY row_num
     best AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM anew QUALIFY rank <= 10)"""
 ORACLES["hybrid_search"] = f"{HYBRID} SELECT doc_id, {units('score')} AS score_fp, rank FROM best"
 ORACLES["explain_search"] = f"{HYBRID} SELECT b.doc_id, {units('coalesce(h.score, 0)')} AS bm25_fp, {units('coalesce(c.score, 0)')} AS semantic_fp, rank FROM best b LEFT JOIN hits h ON h.doc_id = b.doc_id LEFT JOIN cosines c ON c.doc_id = b.doc_id"
+# the same rows by another way
+ORACLES.update({"bm25_blocks": ORACLES["bm25_topk"], "bm25_blocks_batch": ORACLES["bm25_batch"], "segmented_index": ORACLES["fts_delete"]})
 ORACLES["vector_store"] = """
     WITH e AS (SELECT vec_id AS doc_id, embedding FROM embeddings WHERE embedding IS NOT NULL),
     added AS (

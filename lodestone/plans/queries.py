@@ -13,9 +13,11 @@ from lodestone.functions import scoring, text
 from lodestone.operators import catalog, context, graph, ltr, memory, metrics, vectors
 from lodestone.operators import index as ix
 from lodestone.operators import retrieval as rt
+from lodestone.operators.block_index import BlockIndex
 from lodestone.operators.expansion import expand_queries
 from lodestone.operators.lambdamart import train_listwise
 from lodestone.operators.neighbour_graph import NeighbourGraph
+from lodestone.operators.segments import SegmentedIndex
 from lodestone.operators.vector_store import StoredIvfPq, VectorStore
 from lodestone.plans import search as plans
 from lodestone.sources import readers, shared, writers
@@ -72,13 +74,17 @@ class Tables:
 
     _made: dict[tuple, str] = {}
 
-    def __init__(self, spark: SparkSession, d: str):
-        self.docs = docs_of(spark, d)
+    @classmethod
+    def folder(cls, spark: SparkSession, d: str) -> str:
         key = (spark.sparkContext.applicationId, d, shared.state_of(spark, f"{d}/documents.parquet"))
-        if key not in self._made:
-            self._made[key] = plans.Index.store(self.docs, shared.fresh_folder(spark, "index"))
-        self.index = plans.Index.load(spark, self._made[key])
-        self.tokens = spark.read.parquet(f"{self._made[key]}/tokens")
+        if key not in cls._made:
+            cls._made[key] = plans.Index.store(docs_of(spark, d), shared.fresh_folder(spark, "index"))
+        return cls._made[key]
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.docs, folder = docs_of(spark, d), self.folder(spark, d)
+        self.index = plans.Index.load(spark, folder)
+        self.tokens = spark.read.parquet(f"{folder}/tokens")
         self.titles, self.lengths, self.stats = self.index.titles, self.index.lengths, self.index.stats
         self.terms, self.posted = self.index.terms, self.index.postings
         self.postings = self.posted.drop("df")
@@ -262,6 +268,42 @@ def fts_boost(spark: SparkSession, d: str) -> DataFrame:
     return rt.ranked(rt.fts_boosted(t.bm25(asked(spark)), rt.fts(q, t.posted, t.lengths, t.stats)), K).select("doc_id", "score_fp", "rank")
 
 
+def blocks_of(spark: SparkSession, d: str, t: Tables) -> BlockIndex:
+    """The block index of documents, made once like their other tables."""
+    folder = f"{Tables.folder(spark, d)}/block_index"
+    if folder not in _blocks:
+        BlockIndex.build(t.posted, t.titles, t.lengths, t.stats, folder)
+        _blocks.add(folder)
+    return BlockIndex.load(spark, folder)
+
+
+_blocks: set[str] = set()
+
+
+@registered
+def bm25_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """bm25_topk without the blocks that can't reach the last of the best."""
+    return blocks_of(spark, d, Tables(spark, d)).search(asked(spark), K).select("doc_id", "score_fp", "rank")
+
+
+@registered
+def bm25_blocks_batch(spark: SparkSession, d: str) -> DataFrame:
+    return blocks_of(spark, d, Tables(spark, d)).search(batch(spark, d), 10).select("qid", "doc_id", "score_fp", "rank")
+
+
+@registered
+def segmented_index(spark: SparkSession, d: str) -> DataFrame:
+    """Documents added as segments, a part of them twice, a part deleted, and merged: the counts that are left."""
+    docs = docs_of(spark, d).select("doc_id", "text")
+    index = SegmentedIndex(spark, shared.fresh_folder(spark, "segments"))
+    index.add(docs.where("doc_id % 3 < 2"))
+    index.add(docs.where("doc_id % 3 > 0"))
+    index.delete(docs.where("doc_id % 5 = 0"))
+    index.compact(fanout=2)
+    counts = ix.index_counts(index.postings(), index.lengths())
+    return counts.withColumn("avg_fp", scoring.fixed_point(index.stats().select("avg_doc_length").scalar()))
+
+
 FILTERS = {
     "filter_eq": ("source", "src3", "eq"),
     "filter_ne": ("lang", "en", "ne"),
