@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import clean_text, normalize_text, page_url
 
+from .byte_ranges import read_range  # noqa: F401
+
 WIKI_URL = "https://en.wikipedia.org/wiki/"
 TEXT_SUFFIXES, HTML_SUFFIXES, PDF_SUFFIXES, IMAGE_SUFFIXES = (".txt", ".md", ".markdown", ".rst"), (".html", ".htm"), (".pdf",), (".png", ".jpg", ".jpeg", ".gif", ".webp")
 # Elements whose content is no text, and elements that stand on lines of their own.
@@ -72,29 +74,27 @@ def read_text_folder(spark: SparkSession, path: str, suffixes: tuple[str, ...] =
 class Lines(HTMLParser):
     """Collects the visible text of a page; block elements stand on lines of their own.
 
-    Silent elements count as open until as many ends came; an end without a start is nothing.
+    depth counts the silent elements around a place; an end without a start is nothing.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.text, self.hidden = io.StringIO(), []
+        self.text, self.depth = io.StringIO(), 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self._edge(tag)
-        if tag in SILENT:
-            self.hidden.append(tag)
+        self.depth += tag in SILENT
 
     def handle_endtag(self, tag: str) -> None:
         self._edge(tag)
-        if tag in SILENT and self.hidden:
-            self.hidden.pop()
+        self.depth -= tag in SILENT and self.depth > 0
 
     def _edge(self, tag: str) -> None:
         if tag in BLOCKS:
             self.text.write("\n")
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden:
+        if not self.depth:
             self.text.write(data)
 
 
@@ -170,10 +170,3 @@ def detect(path: str) -> str:
 
 def read_documents(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     return READERS[kind or detect(path)](spark, path)
-
-
-def read_range(spark: SparkSession, path: str, start: int, length: int) -> DataFrame:
-    """path and bytes of a range of each file; a negative start counts from the end."""
-    files = spark.read.format("binaryFile").load(path)
-    first = F.lit(start + 1) if start >= 0 else F.greatest(F.col("length").cast("int") + start + 1, F.lit(1))
-    return files.select("path", "length", F.substring("content", first, F.lit(length)).alias("bytes"))
