@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .grams import substring_pairs
+
 
 def merge_triples(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes and edges of (doc_id, source, relation, target); a node's documents are distinct, edges stay as they are."""
@@ -27,12 +29,9 @@ def view_edges(edges: DataFrame) -> DataFrame:
 
 
 def matching_nodes(terms: DataFrame, nodes: DataFrame) -> DataFrame:
-    """qid, name, times: nodes whose name holds a query word, with the number of words (repeats count).
-
-    The words are few; distinct ones are matched against each name as it streams by.
-    """
-    words = terms.select(F.lower("term").alias("word")).distinct()
-    pairs = nodes.select("name").join(words, F.contains(F.lower("name"), F.col("word")))
+    """qid, name, times: nodes whose name holds a query word, with the number of words (repeats count)."""
+    named = nodes.select("name", F.lower("name").alias("_lower"))
+    pairs = substring_pairs(named, "_lower", terms.select(F.lower("term").alias("word")), "word").select("name", "word")
     return pairs.join(terms.withColumn("word", F.lower("term")), "word").groupBy("qid", "name").agg(F.sum("qtf").alias("times"))
 
 

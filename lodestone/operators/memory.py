@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.scoring import cosine, vector_literal
 
+from .grams import substring_pairs
+
 DECAY, EPISODIC_MAX, WORKING_MAX = 0.1, 10_000, 500
 DAY = 86_400.0
 
@@ -69,13 +71,10 @@ def working_search(buffer: DataFrame, query: list[float], k: int) -> DataFrame:
 
 
 def boosted_by_memory(hits: DataFrame, docs: DataFrame, memories: DataFrame, factor: float, head_chars: int = 50) -> DataFrame:
-    """Hits raised where a memory's first characters occur in the document's text, to be ranked anew.
-
-    A hit's text is compared with the few memories that were recalled for it.
-    """
+    """Hits raised where a memory's first characters occur in the document's text, to be ranked anew."""
     heads = memories.select(F.substring("text", 1, head_chars).alias("_head")).where("_head <> ''").distinct()
     texts = hits.select("doc_id").distinct().join(docs.select("doc_id", "text"), "doc_id")
-    known = texts.join(heads, F.contains("text", F.col("_head")), "left_semi").select("doc_id").distinct().withColumn("_hit", F.lit(True))
+    known = substring_pairs(texts, "text", heads, "_head").select("doc_id").distinct().withColumn("_hit", F.lit(True))
     return hits.join(known, "doc_id", "left").withColumn("score", F.when(F.coalesce("_hit", F.lit(False)), F.col("score") * factor).otherwise(F.col("score"))).drop("_hit")
 
 
