@@ -110,7 +110,8 @@ def secret_scan(docs: DataFrame, *, owner: str = "source", repository: str = "do
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_shared, n_example, n_repositories for every row of docs."""
     found = cut(candidates(docs, owner, repository))
     each = cut(uncovered(found.select(ROW_ID, ROW_KEY, "owner", "repository", F.explode(F.concat("base", "bare")).alias("s"))).withColumn("value_hash", F.xxhash64("s.value")))
-    owned = ownership(each.select("value_hash", "owner", "repository"))
+    # stored before it is joined: Spark splits a common value's rows in a join of two scans only
+    owned = cut(ownership(each.select("value_hash", "owner", "repository")))
     live = (F.col("n_owners") == 1) & (F.col("n_repositories") < example_repositories)
     status = F.when(F.col("n_owners") >= example_owners, "example").when(live, "live").otherwise("shared")
     judged = each.join(owned.select("value_hash", status.alias("status"), "n_repositories"), "value_hash")

@@ -99,3 +99,22 @@ def test_equal_rows_cost_in_proportion(spark, monkeypatch):
         rows[m] = seen["rows"]
     assert rows[80] <= 4.2 * rows[20]
     assert suffix_digest(suffix_dedup(docs)).where(F.col("doc_id") == 1).count() == 80
+
+
+def test_a_value_in_a_third_of_all_documents(spark):
+    from lodestone.llm.secret_scan import secret_scan
+
+    key = "Ab3dEf6hIj9lMn2pQr5t"
+    docs = spark.range(900).select(F.col("id").alias("doc_id"), F.concat(F.lit("token = "), F.when(F.col("id") % 3 == 0, F.lit(key)).otherwise(F.concat(F.lit("Zz9"), F.sha2(F.col("id").cast("string"), 256)))).alias("text"), F.concat(F.lit("s"), F.col("id") % 7).alias("source"))
+    want = sorted(tuple(r) for r in secret_scan(docs).collect())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = secret_scan(docs)
+        assert sorted(tuple(r) for r in out.collect()) == want
+        join = out._jdf.queryExecution().optimizedPlan().toString().split("value_hash")[-1]
+        assert "Aggregate" not in join  # what the values are joined with is a scan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    common = [r for r in want if r[-1] == 300]
+    assert len(common) == 300 and all(r[-2] == 1 for r in common)  # n_example
