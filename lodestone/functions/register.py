@@ -30,6 +30,20 @@ def register_functions(spark: SparkSession) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {kind} RETURN {body}")
 
 
+def register_chunks(spark: SparkSession) -> None:
+    """chunk_text(t, max_tokens, overlap) as a table function: chunk_index and chunk, for LATERAL; the expression of the same name, in SQL."""
+    none = "CAST(array() AS ARRAY<STRING>)"
+    size = lambda p: f"greatest(1, CAST(floor(length({p}) / 4) AS INT))"
+    paragraphs = r"filter(transform(split(coalesce(t, ''), '\\n\\s*\\n'), p -> regexp_replace(p, '(?U)^\\s+|\\s+\\z', '')), p -> p <> '')"
+    fits = f"c.open AND c.n + {size('q')} <= overlap"
+    carried = f"aggregate(reverse(a.held), named_struct('kept', {none}, 'n', 0, 'open', true), (c, q) -> named_struct('kept', if({fits}, concat(array(q), c.kept), c.kept), 'n', if({fits}, c.n + {size('q')}, c.n), 'open', {fits}))"
+    full = f"a.n + {size('p')} > max_tokens AND size(a.held) > 0"
+    closed = r"concat(a.out, array(array_join(a.held, '\n\n')))"
+    step = f"named_struct('out', if({full}, {closed}, a.out), 'held', if({full}, concat({carried}.kept, array(p)), concat(a.held, array(p))), 'n', if({full}, {carried}.n + {size('p')}, a.n + {size('p')}))"
+    folded = f"aggregate({paragraphs}, named_struct('out', {none}, 'held', {none}, 'n', 0), (a, p) -> {step}, a -> if(size(a.held) > 0, {closed}, a.out))"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION chunk_text(t STRING, max_tokens INT, overlap INT) RETURNS TABLE(chunk_index INT, chunk STRING) RETURN SELECT pos, col FROM (SELECT posexplode({folded}))")
+
+
 def chunk_table(docs, max_tokens: int = 512, overlap: int = 64):  # noqa: ANN001, ANN201
     """doc_id, chunk_index, chunk: the table form of chunk_text."""
     return docs.select("doc_id", F.posexplode(chunk_text("text", max_tokens, overlap)).alias("chunk_index", "chunk"))
