@@ -25,6 +25,8 @@ from lodestone.operators.retrieval import bm25, bm25_ranked, column_filter, fts,
 POOL, FUSED, RERANKED = 20, 50, 20
 #: Words that a scan is filtered by; those of more queries are joined only.
 PUSHED = 256
+#: Scores of a whole search differ if they do at this many bits.
+FINE_BITS = 32
 
 
 @dataclass
@@ -138,7 +140,8 @@ def search(
     for table, factor in ((memories, 1.2), (working, 1.1)):
         if table is not None:
             top = boosted_by_memory(top, index.documents, table, factor)
-    return ranked(top.select("qid", "doc_id", "score"), k, by=F.col("score")).select("doc_id", "score", "rank")
+    # equal documents have equal scores but for the order in which their parts were added
+    return ranked(top.select("qid", "doc_id", "score"), k, by=fixed_point(F.col("score"), FINE_BITS)).select("doc_id", "score", "rank")
 
 
 def reranked(index: Index, asked: DataFrame, top: DataFrame, hits: DataFrame, semantic: DataFrame, model: object = None) -> DataFrame:
