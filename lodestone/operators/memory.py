@@ -11,6 +11,8 @@ from .grams import substring_pairs
 
 DECAY, EPISODIC_MAX, WORKING_MAX = 0.1, 10_000, 500
 DAY = 86_400.0
+#: Heads of memories that are looked for in each text; more are looked up by grams.
+FEW_HEADS = 64
 
 
 def recency(now: float, last: Column | str = "last_accessed", decay: Column | float = DECAY) -> Column:
@@ -74,7 +76,7 @@ def boosted_by_memory(hits: DataFrame, docs: DataFrame, memories: DataFrame, fac
     """Hits raised where a memory's first characters occur in the document's text, to be ranked anew."""
     heads = memories.select(F.substring("text", 1, head_chars).alias("_head")).where("_head <> ''").distinct()
     texts = hits.select("doc_id").distinct().join(docs.select("doc_id", "text"), "doc_id")
-    known = substring_pairs(texts, "text", heads, "_head").select("doc_id").distinct().withColumn("_hit", F.lit(True))
+    known = substring_pairs(texts, "text", heads, "_head", few=FEW_HEADS).select("doc_id").distinct().withColumn("_hit", F.lit(True))
     return hits.join(known, "doc_id", "left").withColumn("score", F.when(F.coalesce("_hit", F.lit(False)), F.col("score") * factor).otherwise(F.col("score"))).drop("_hit")
 
 

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from lodestone.operators import grams
+from lodestone.operators.memory import boosted_by_memory
 from lodestone.plans import search
 
 
@@ -16,3 +18,16 @@ def test_equal_documents_of_a_search_rank_by_id(spark, monkeypatch):
 
     monkeypatch.setattr(search, "lexical", noisy)
     assert [r.doc_id for r in search.search(index, "red fish", 6).orderBy("rank").collect()] == list(range(6))
+
+
+def test_few_words_are_looked_up_without_an_index_of_grams(spark):
+    texts = spark.createDataFrame([(1, "the red fish"), (2, "a fish"), (3, None), (4, "(red")], "doc_id long, text string")
+    words = spark.createDataFrame([("red",), ("fish",), ("fish",), ("",), (None,), ("zz",), ("(r",)], "w string")
+    few = grams.substring_pairs(texts, "text", words, "w", few=4)
+    assert "regexp_extract_all" not in few._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, grams.substring_pairs(texts, "text", words, "w", few=3).collect()))
+    assert grams.substring_pairs(texts, "text", words.where("w = ''"), "w", few=3).isEmpty()
+    hits = spark.createDataFrame([(0, 1, 1.0), (0, 2, 1.0)], "qid long, doc_id long, score double")
+    boosted = boosted_by_memory(hits, texts, spark.createDataFrame([("the red",)], "text string"), 2.0)
+    assert "regexp_extract_all" not in boosted._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.doc_id, r.score) for r in boosted.collect()) == [(1, 2.0), (2, 1.0)]
