@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import clean_text, first_line, tokenize
@@ -17,9 +17,32 @@ def title_tokens(docs: DataFrame, *, clean: bool = True) -> DataFrame:
     return with_tokens(docs.select("doc_id", first_line("text").alias("title")), "title", clean=clean)
 
 
-def postings(tokens: DataFrame) -> DataFrame:
-    """term, doc_id, tf: terms are combined in each partition before they are shuffled."""
-    return tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+def postings(tokens: DataFrame, column: str = "tokens", *, unique: bool = False) -> DataFrame:
+    """term, doc_id, tf. If no two rows share a doc_id (unique), words are counted inside their row and nothing is shuffled."""
+    if not unique:
+        return tokens.select("doc_id", F.explode(column).alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    rows = tokens.select("doc_id", F.inline(counted(F.col(column))).alias("term", "tf"))
+    return rows.select("term", "doc_id", "tf")
+
+
+def counted(words: Column) -> Column:
+    """The distinct words of an array with their numbers: it is sorted, and each word goes on up to the next one's start."""
+
+    def starts(s: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return F.when(F.size(s) > 0, at).otherwise(F.array().cast("array<int>"))
+
+    def runs(c: Column) -> Column:
+        s, at = c["s"], c["at"]
+        return F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("bigint").alias("tf")))
+
+    of = F.transform(F.array(F.sort_array(words)), lambda s: F.struct(s.alias("s"), starts(s).alias("at")))
+    return F.flatten(F.transform(of, runs))
+
+
+def unique_ids(rows: DataFrame) -> bool:
+    """Whether no two rows share a doc_id, nulls included."""
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
 
 
 def doc_lengths(tokens: DataFrame) -> DataFrame:
@@ -41,12 +64,12 @@ def get_postings(posted: DataFrame, *terms: str) -> DataFrame:
 
 def merge_sum(*parts: DataFrame) -> DataFrame:
     """One index of several; the frequencies of a term and document are added."""
-    return _union(parts).groupBy("term", "doc_id").agg(F.sum("tf").cast("bigint").alias("tf"))
+    return _paired(parts).agg(F.sum("tf").cast("bigint").alias("tf"))
 
 
 def merge_max(*parts: DataFrame) -> DataFrame:
     """One full-text index of several; the larger frequency holds."""
-    return _union(parts).groupBy("term", "doc_id").agg(F.max("tf").cast("bigint").alias("tf"))
+    return _paired(parts).agg(F.max("tf").cast("bigint").alias("tf"))
 
 
 def merge_lengths(own: DataFrame, other: DataFrame) -> DataFrame:
@@ -55,6 +78,11 @@ def merge_lengths(own: DataFrame, other: DataFrame) -> DataFrame:
     return both.groupBy("doc_id").agg(F.max_by("dl", "_turn").alias("dl"))
 
 
+def _paired(parts: tuple[DataFrame, ...]) -> GroupedData:
+    """Rows of all parts by term and document. Few repeat in a task, so they are dealt before they are combined, and no map of them fills up."""
+    return _union(parts).repartition("term", "doc_id").groupBy("term", "doc_id")
+
+
 def _union(parts: tuple[DataFrame, ...]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

@@ -17,8 +17,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def matched(terms: DataFrame, posted: DataFrame) -> DataFrame:
-    """Postings of the query terms with df; df counts all documents, whoever asks. Stored postings have it with them."""
-    if "df" in posted.columns:
+    """Postings of the query terms with df; df counts all documents, whoever asks. Terms or stored postings may have it with them."""
+    if "df" in posted.columns or "df" in terms.columns:
         return terms.join(posted, "term")
     hit = posted.join(terms.select("term").distinct(), "term", "left_semi")
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -46,10 +46,10 @@ def bm25_title(terms: DataFrame, titles: DataFrame, stats: DataFrame, k1: float
     return scored(rows, idf(F.col("total_docs"), F.col("df")) * title_weight(F.col("tf"), k1))
 
 
-def bm25(terms: DataFrame, posted: DataFrame, titles: DataFrame, lengths: DataFrame, stats: DataFrame, boost: float = TITLE_BOOST) -> DataFrame:
-    """Body plus boosted title scores; weighted parts are united and added, without a full outer join."""
+def bm25(terms: DataFrame, posted: DataFrame, titles: DataFrame, lengths: DataFrame, stats: DataFrame, boost: float = TITLE_BOOST, *, title_terms: DataFrame | None = None) -> DataFrame:
+    """Body plus boosted title scores; weighted parts are united and added, without a full outer join. title_terms are the terms with the df of titles, if terms have one."""
     body = bm25_body(terms, posted, lengths, stats).withColumn("title_only", F.lit(0))
-    title = bm25_title(terms, titles, stats).withColumn("score", F.col("score") * boost).withColumn("title_only", F.lit(1))
+    title = bm25_title(title_terms if title_terms is not None else terms, titles, stats).withColumn("score", F.col("score") * boost).withColumn("title_only", F.lit(1))
     return body.unionByName(title).groupBy("qid", "doc_id").agg(F.sum("score").alias("score"), F.min("title_only").alias("title_only"), F.min("qpos").alias("qpos"))
 
 

@@ -97,7 +97,7 @@ class SegmentedIndex:
         fresh = stored(once, f"{self.root}/{folder}/documents")
         tokens = stored(ix.with_tokens(fresh))
         lengths = ix.doc_lengths(tokens)
-        self._write(folder, {"postings": ix.postings(tokens), "titles": ix.postings(ix.title_tokens(fresh)), "lengths": lengths})
+        self._write(folder, {"postings": ix.postings(tokens, unique=True), "titles": ix.postings(ix.title_tokens(fresh), unique=True), "lengths": lengths})
         sums = self.spark.read.parquet(f"{self.root}/{folder}/lengths").agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
         entry = {"folder": folder, "level": 0, "has": ["postings", "titles", "lengths", "documents"], "docs": sums[0], "tokens": sums[1]}
         return self._commit(entry, fresh.select("doc_id"), batch_id)

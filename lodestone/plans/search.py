@@ -39,6 +39,7 @@ class Index:
     lengths: DataFrame
     stats: DataFrame
     terms: DataFrame | None = None
+    title_terms: DataFrame | None = None
     embeddings: DataFrame | None = None
     dual: DataFrame | None = None
     nodes: DataFrame | None = None
@@ -54,39 +55,48 @@ class Index:
         return cls.load(spark, cls.store(docs, fresh_folder(spark, "index")), **more)
 
     @staticmethod
-    def store(docs: DataFrame, root: str) -> str:
-        """Writes the tables of an index to root. Every text is cleaned once; postings lie in order of term, so that a search reads few of them."""
+    def store(docs: DataFrame, root: str, *, copy: bool = True) -> str:
+        """Writes the tables of an index to root; without copy the documents stay where they are. Every text is cleaned once.
+
+        Words are counted inside their documents, so postings are shuffled once, into order of term, of which a search reads few.
+        """
         titled = docs if "title" in docs.columns else docs.withColumn("title", first_line("text"))
-        stored(titled, f"{root}/documents")
-        tokens = stored(ix.with_tokens(docs), f"{root}/tokens")
-        posted = ix.postings(tokens)
-        terms = stored(ix.doc_freq(posted), f"{root}/terms")
-        titles = ix.postings(ix.with_tokens(titled, "title"))
-        stored(in_term_order(posted.join(terms, "term")), f"{root}/postings")
-        stored(in_term_order(titles.join(ix.doc_freq(titles), "term")), f"{root}/title_postings")
+        if copy:
+            stored(titled, f"{root}/documents")
+        tokens = stored(titled.select("doc_id", parse_query("text").alias("tokens"), parse_query("title").alias("title_tokens")), f"{root}/tokens")
+        unique = ix.unique_ids(tokens)
+        for name, column, df in (("postings", "tokens", "terms"), ("title_postings", "title_tokens", "title_terms")):
+            posted = stored(in_term_order(ix.postings(tokens, column, unique=unique)), f"{root}/{name}")
+            stored(ix.doc_freq(posted), f"{root}/{df}")
         lengths = stored(ix.doc_lengths(tokens), f"{root}/doc_lengths")
         stored(ix.corpus_stats(lengths), f"{root}/stats")
         return root
 
     @classmethod
-    def load(cls, spark, root: str, *, version: int | None = None, **more: object) -> Index:  # noqa: ANN001
-        """The tables in root, or those of one commit of a built index (the last by default), with its vectors and graph."""
+    def load(cls, spark, root: str, *, version: int | None = None, documents: DataFrame | None = None, **more: object) -> Index:  # noqa: ANN001
+        """The tables in root, or those of one commit of a built index (the last by default), with its vectors and graph; documents stands for theirs."""
         state = CommitLog(spark, root).state(version)
         tables = state["tables"] if state else {}
         read = lambda name: spark.read.parquet(f"{root}/{tables.get(name, name)}")
         kept = {"embeddings": "embeddings", "dual": "dual_embeddings", "nodes": "graph_nodes", "edges": "graph_edges", "fts_postings": "fts_postings"}
         more = {**{field: read(name) for field, name in kept.items() if name in tables}, **more}
-        return cls(read("documents"), read("postings"), read("title_postings"), read("doc_lengths"), read("stats"), read("terms"), **more)
+        if not tables or "title_terms" in tables:
+            more["title_terms"] = read("title_terms")
+        return cls(documents if documents is not None else read("documents"), read("postings"), read("title_postings"), read("doc_lengths"), read("stats"), read("terms"), **more)
 
 
 def in_term_order(posted: DataFrame) -> DataFrame:
-    return posted.select("term", "doc_id", "tf", "df").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+    return posted.select("term", "doc_id", "tf").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
 
 
 def lexical(index: Index, queries: DataFrame) -> DataFrame:
-    """Hits of queries. The words of few queries are filtered in the scans of the postings."""
+    """Hits of queries. The words of few queries are filtered in the scans of the postings; those of many are stored with their df, so their size is known."""
     terms = query_terms(queries)
     words = [r.term for r in terms.select("term").distinct().limit(PUSHED + 1).collect()]
+    if len(words) > PUSHED and index.terms is not None:
+        title_df = index.title_terms if index.title_terms is not None else ix.doc_freq(index.titles)
+        known = [stored(terms.join(df, "term")) for df in (index.terms, title_df)]
+        return bm25(known[0], index.postings, index.titles, index.lengths, index.stats, title_terms=known[1])
     of = lambda posted: posted.where(F.col("term").isin(words)) if len(words) <= PUSHED else posted
     return bm25(terms, of(index.postings), of(index.titles), index.lengths, index.stats)
 

@@ -2,11 +2,41 @@
 
 from pyspark.sql import functions as F
 
+from lodestone.functions import text
 from lodestone.operators import grams
+from lodestone.operators import index as ix
 from lodestone.operators.memory import boosted_by_memory
 from lodestone.plans import search
 
 
+def rows(df):
+    return sorted(map(tuple, df.select("term", "doc_id", "tf").collect()), key=repr)
+
+
+def test_words_are_counted_inside_unique_documents(spark):
+    docs = spark.createDataFrame([(1, ["b", "a", "b", "b"]), (2, []), (None, ["a"]), (3, ["c"])], "doc_id long, tokens array<string>")
+    assert ix.unique_ids(docs)
+    assert rows(ix.postings(docs, unique=True)) == rows(ix.postings(docs))
+    assert "Exchange" not in ix.postings(docs, unique=True)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_of_documents_that_share_an_id(spark):
+    docs = spark.createDataFrame([(1, "red fish"), (1, "red red"), (None, "blue"), (None, "blue"), (2, "")], "doc_id long, text string")
+    index = search.Index.of_documents(docs)
+    assert rows(index.postings) == [("blue", None, 2), ("fish", 1, 1), ("red", 1, 3)]
+    assert {(r.term, r.df) for r in index.terms.collect()} == {("blue", 1), ("fish", 1), ("red", 1)}
+    assert {(r.term, r.df) for r in index.title_terms.collect()} == {("blue", 1), ("fish", 1), ("red", 1)}
+
+
+def test_many_query_words_find_what_few_do(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"w{k} w{k % 3} common\nbody w{k % 5}") for k in range(20)], "doc_id long, text string")
+    index = search.Index.of_documents(docs)
+    queries = spark.createDataFrame([(1, "w1 common w2"), (2, "body w4 nothing")], "qid long, query string")
+    few = sorted((r.qid, r.doc_id, round(r.score, 9), r.title_only, r.qpos) for r in search.lexical(index, queries).collect())
+    monkeypatch.setattr(search, "PUSHED", 1)
+    assert few == sorted((r.qid, r.doc_id, round(r.score, 9), r.title_only, r.qpos) for r in search.lexical(index, queries).collect())
+
+
 def test_equal_documents_of_a_search_rank_by_id(spark, monkeypatch):
     """Parts of a score are added in any order, so equal documents may differ in the last bit."""
     docs = spark.createDataFrame([(k, "red fish") for k in range(6)], "doc_id long, text string")
@@ -20,6 +50,14 @@ def test_equal_documents_of_a_search_rank_by_id(spark, monkeypatch):
     assert [r.doc_id for r in search.search(index, "red fish", 6).orderBy("rank").collect()] == list(range(6))
 
 
+def test_cleaning_matches_the_patterns_one_after_the_other(spark):
+    texts = ["{{x}} a<b>c</b> http://u v", "<ref n>q</ref> [[l|t]] [[u]] == h == ~ é ü x😀y", "plain, words_1", "", None, "a\x0b\x1fb c"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    steps = [*text.MARKUP[:-2], (r"[^a-zA-Z0-9\s]", " "), (r"\s+", " ")]
+    got = df.select(text.clean_text("t").alias("a"), F.trim(text.replaced(F.col("t"), steps)).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got]
+
+
 def test_few_words_are_looked_up_without_an_index_of_grams(spark):
     texts = spark.createDataFrame([(1, "the red fish"), (2, "a fish"), (3, None), (4, "(red")], "doc_id long, text string")
     words = spark.createDataFrame([("red",), ("fish",), ("fish",), ("",), (None,), ("zz",), ("(r",)], "w string")
