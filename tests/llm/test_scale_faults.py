@@ -118,3 +118,13 @@ def test_a_value_in_a_third_of_all_documents(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     common = [r for r in want if r[-1] == 300]
     assert len(common) == 300 and all(r[-2] == 1 for r in common)  # n_example
+
+
+def test_copies_of_a_class_count_once_for_a_token(spark):
+    """Prefixes of a copy may come from many tasks; a single shared token of four does not open a group."""
+    from lodestone.llm.jaccard_join import opened
+
+    one = [(5, 1, 1, 100), (5, 2, 2, 100)]
+    four = [(t, c, c, 100) for t in (6, 7, 8, 9) for c in (3, 4)]
+    made = spark.createDataFrame((one + four) * 10, "token long, class long, group long, size long").repartition(5)
+    assert sorted(map(tuple, opened(made, 85).collect())) == [(3, 4, 100), (4, 3, 100)]
