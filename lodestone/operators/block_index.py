@@ -32,16 +32,23 @@ class BlockIndex:
 
     @classmethod
     def build(cls, postings: DataFrame, titles: DataFrame, lengths: DataFrame, stats: DataFrame, root: str, *, bucket: int = BUCKET, boost: float = TITLE_BOOST) -> BlockIndex:
-        """Writes an index of postings and title postings (term, doc_id, tf, df) to root."""
-        body = with_stats(postings.join(lengths, "doc_id", "left"), stats)
-        whole = body.select("term", "doc_id", F.lit(True).alias("in_body"), (idf(F.col("total_docs"), F.col("df")) * bm25_weight(F.col("tf"), F.coalesce("dl", F.lit(0)), F.col("avg_doc_length"))).alias("impact"))
-        title = with_stats(titles, stats).select("term", "doc_id", F.lit(False).alias("in_body"), (F.lit(boost) * idf(F.col("total_docs"), F.col("df")) * title_weight(F.col("tf"))).alias("impact"))
-        impacts = whole.unionByName(title).groupBy("term", "doc_id").agg(F.bool_or("in_body").alias("in_body"), F.sum("impact").alias("impact"))
-        ids = impacts.select("doc_id").distinct().join(lengths, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl"), F.lit(0).alias("qid"))
-        buckets = placed(ids, "dl", "doc_id").select("doc_id", F.floor((F.col("place") - 1) / bucket).alias("bucket"))
+        """Writes an index of postings and title postings (term, doc_id, tf; df is counted if they lack it) to root."""
+        dfs = [
+            (posted.select("term", "df").distinct() if "df" in posted.columns else posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))).select("term", F.lit(kind).alias("in_body"), "df")
+            for posted, kind in ((postings, True), (titles, False))
+        ]
+        rows = postings.select("term", "doc_id", "tf", F.lit(True).alias("in_body")).unionByName(titles.select("term", "doc_id", "tf", F.lit(False).alias("in_body")))
+        ids = rows.select("doc_id").distinct().join(lengths, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl"), F.lit(0).alias("qid"))
+        buckets = placed(ids, "dl", "doc_id").select("doc_id", "dl", F.floor((F.col("place") - 1) / bucket).alias("bucket"))
+        # rows are dealt by document for their bucket and by term for their df, and stay so: each term's blocks are made where its rows are
+        df = dfs[0].unionByName(dfs[1]).groupBy("term").agg(F.max(F.when(F.col("in_body"), F.col("df"))).alias("df"), F.max(F.when(~F.col("in_body"), F.col("df"))).alias("title_df"))
+        known = with_stats(rows.join(buckets, "doc_id").repartition("term").join(df, "term"), stats)
+        part = F.when(F.col("in_body"), idf(F.col("total_docs"), F.col("df")) * bm25_weight(F.col("tf"), F.col("dl"), F.col("avg_doc_length")))
+        part = part.otherwise(F.lit(boost) * idf(F.col("total_docs"), F.col("title_df")) * title_weight(F.col("tf")))
+        impacts = known.select("term", "bucket", "doc_id", "in_body", part.alias("impact")).groupBy("term", "bucket", "doc_id").agg(F.bool_or("in_body").alias("in_body"), F.sum("impact").alias("impact"))
         # a block has `bucket` documents at most
-        made = impacts.join(buckets, "doc_id").groupBy("term", "bucket").agg(F.array_sort(F.collect_list(F.struct("doc_id", "impact", "in_body"))).alias("docs"))
-        ordered = made.withColumn("top", F.array_max(F.transform("docs", lambda d: d["impact"]))).repartitionByRange("term", "bucket").sortWithinPartitions("term", "bucket")
+        made = impacts.groupBy("term", "bucket").agg(F.array_sort(F.collect_list(F.struct("doc_id", "impact", "in_body"))).alias("docs"))
+        ordered = made.withColumn("top", F.array_max(F.transform("docs", lambda d: d["impact"]))).sortWithinPartitions("term", "bucket")
         stored(ordered, f"{root}/blocks")
         return cls.load(postings.sparkSession, root)
 

@@ -69,3 +69,16 @@ def test_few_words_are_looked_up_without_an_index_of_grams(spark):
     boosted = boosted_by_memory(hits, texts, spark.createDataFrame([("the red",)], "text string"), 2.0)
     assert "regexp_extract_all" not in boosted._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.doc_id, r.score) for r in boosted.collect()) == [(1, 2.0), (2, 1.0)]
+
+
+def test_blocks_of_postings_without_df(spark):
+    from lodestone.operators.block_index import block_index
+    from lodestone.operators.retrieval import bm25_ranked
+
+    docs = spark.createDataFrame([(k, f"w{k % 4} common\nw{k % 3} body") for k in range(30)], "doc_id long, text string")
+    index = search.Index.of_documents(docs)
+    assert "df" not in index.postings.columns
+    asked = spark.createDataFrame([(1, "w1 common"), (2, "body w0")], "qid long, query string")
+    made = block_index(spark, index.postings, index.titles, index.lengths, index.stats, bucket=4).search(asked, 5)
+    want = bm25_ranked(search.lexical(index, asked), 5)
+    assert sorted((r.qid, r["rank"], r.doc_id) for r in made.collect()) == sorted((r.qid, r["rank"], r.doc_id) for r in want.collect())
