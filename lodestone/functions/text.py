@@ -33,6 +33,9 @@ MARKUP = (
     (r"\s+", " "),
 )
 
+#: What the last two patterns of markup do, one after the other, in one: signs and white space become one blank.
+SIGNS = r"\P{Alnum}+"
+
 # Patterns of white space to be made plain.
 WHITESPACE = (
     (r"\t", " "),
@@ -57,7 +60,7 @@ def clean_text(c: Column | str) -> Column:
     plain = F.coalesce(col(c), F.lit(""))
     marked = reduce(lambda a, b: a | b, (F.contains(plain, F.lit(m)) for m in ("{{", "<", "http", "[[", "==")))
     bare = F.when(marked, replaced(plain, MARKUP[:-2])).otherwise(plain)
-    return F.trim(replaced(bare, MARKUP[-2:]))
+    return F.trim(F.regexp_replace(bare, SIGNS, " "))
 
 
 def normalize_text(c: Column | str) -> Column:
@@ -65,13 +68,13 @@ def normalize_text(c: Column | str) -> Column:
     return replaced(col(c), WHITESPACE)
 
 
-def tokenize(c: Column | str) -> Column:
+def tokenize(c: Column | str, gap: str = r"\s+") -> Column:
     """Lower-case words between white space without the stop words."""
-    return F.filter(F.split(F.lower(F.coalesce(col(c), F.lit(""))), r"\s+"), lambda t: (t != "") & ~t.isin(*STOPWORDS))
+    return F.filter(F.split(F.lower(F.coalesce(col(c), F.lit(""))), gap), lambda t: ~t.isin("", *STOPWORDS))
 
 
 def parse_query(c: Column | str) -> Column:
-    return tokenize(clean_text(c))
+    return tokenize(clean_text(c), " ")  # clean words have one blank between them
 
 
 def count_tokens(c: Column | str) -> Column:

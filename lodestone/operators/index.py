@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import clean_text, first_line, tokenize
+from lodestone.functions.text import first_line, parse_query, tokenize
+from lodestone.sources.shared import byte_batches
+
+#: Words, or postings, that a worker sorts at once, and rows in a batch that it gives back.
+RUN, GIVEN = 2_000_000, 1 << 16
 
 
 def with_tokens(docs: DataFrame, text: str = "text", *, clean: bool = True) -> DataFrame:
     """doc_id and tokens. clean=False indexes raw words, as older indexes do."""
-    return docs.select("doc_id", tokenize(clean_text(text) if clean else F.col(text)).alias("tokens"))
+    return docs.select("doc_id", (parse_query(text) if clean else tokenize(text)).alias("tokens"))
 
 
 def title_tokens(docs: DataFrame, *, clean: bool = True) -> DataFrame:
@@ -40,6 +49,73 @@ def counted(words: Column) -> Column:
     return F.flatten(F.transform(of, runs))
 
 
+def runs_of(tokens: DataFrame, column: str = "tokens") -> DataFrame:
+    """postings of rows of which no two share a doc_id, in runs in order of term: words are counted and sorted in Arrow batches, and nothing is shuffled.
+
+    A run holds the words of RUN words' worth of documents, so a worker's memory doesn't grow
+    with the corpus, and a scan for few words finds their few pages in each run.
+    """
+
+    def run(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ids, lists = (pa.chunked_array([b.column(c) for b in held]).combine_chunks() for c in ("doc_id", "words"))
+        words, row = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
+        if words.null_count:
+            row, words = row[pc.is_valid(words).to_numpy(zero_copy_only=False)], words.drop_null()
+        terms, rank = ranks(words)
+        docs, place = ranks(ids)
+        keys, tf = np.unique(rank * max(len(docs), 1) + place[row], return_counts=True)
+        return pa.RecordBatch.from_arrays([terms.take(pa.array(keys // max(len(docs), 1))), docs.take(pa.array(keys % max(len(docs), 1))), pa.array(tf.astype(np.int64))], ["term", "doc_id", "tf"])
+
+    byte_batches(tokens.sparkSession)
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    return tokens.select("doc_id", F.col(column).alias("words")).mapInArrow(in_turns(run, lambda b: pc.sum(pc.list_value_length(b.column("words"))).as_py() or 0), f"term string, doc_id {kind}, tf long")
+
+
+def in_runs(posted: DataFrame) -> DataFrame:
+    """Postings in runs in order of term and document, sorted in Arrow batches without a shuffle; no task sorts more than RUN at once."""
+
+    def run(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        order = np.lexsort([ranks(rows.column(c).combine_chunks())[1] for c in ("doc_id", "term")])
+        return rows.take(pa.array(order)).combine_chunks().to_batches()[0]
+
+    byte_batches(posted.sparkSession)
+    return posted.mapInArrow(in_turns(run, lambda b: b.num_rows), posted.schema)
+
+
+def ranks(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The distinct values in order, nulls last, and the place of each value among them."""
+    coded = values.dictionary_encode(null_encoding="encode")
+    order = pc.array_sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return coded.dictionary.take(pa.array(order)), place[coded.indices.to_numpy()]
+
+
+def in_turns(run: Callable[[list[pa.RecordBatch]], pa.RecordBatch], size: Callable[[pa.RecordBatch], int]) -> Callable:
+    """A function for mapInArrow: batches are held until they have RUN of something, then run together."""
+    most, given = RUN, GIVEN
+
+    def turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            n += size(b)
+            if n >= most:
+                yield from pieces(run(held))
+                held, n = [], 0
+        if held:
+            yield from pieces(run(held))
+
+    def pieces(made: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at in range(0, made.num_rows, given):
+            yield made.slice(at, given)
+
+    return turns
+
+
 def unique_ids(rows: DataFrame) -> bool:
     """Whether no two rows share a doc_id, nulls included."""
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()

@@ -58,7 +58,7 @@ class Index:
     def store(docs: DataFrame, root: str, *, copy: bool = True) -> str:
         """Writes the tables of an index to root; without copy the documents stay where they are. Every text is cleaned once.
 
-        Words are counted inside their documents, so postings are shuffled once, into order of term, of which a search reads few.
+        Words are counted inside their documents, so postings are not shuffled; their files are runs in order of term, of which a search reads few pages.
         """
         titled = docs if "title" in docs.columns else docs.withColumn("title", first_line("text"))
         if copy:
@@ -66,7 +66,7 @@ class Index:
         tokens = stored(titled.select("doc_id", parse_query("text").alias("tokens"), parse_query("title").alias("title_tokens")), f"{root}/tokens")
         unique = ix.unique_ids(tokens)
         for name, column, df in (("postings", "tokens", "terms"), ("title_postings", "title_tokens", "title_terms")):
-            posted = stored(in_term_order(ix.postings(tokens, column, unique=unique)), f"{root}/{name}")
+            posted = stored(ix.runs_of(tokens, column) if unique else ix.in_runs(ix.postings(tokens, column)), f"{root}/{name}")
             stored(ix.doc_freq(posted), f"{root}/{df}")
         lengths = stored(ix.doc_lengths(tokens), f"{root}/doc_lengths")
         stored(ix.corpus_stats(lengths), f"{root}/stats")
@@ -85,10 +85,6 @@ class Index:
         return cls(documents if documents is not None else read("documents"), read("postings"), read("title_postings"), read("doc_lengths"), read("stats"), read("terms"), **more)
 
 
-def in_term_order(posted: DataFrame) -> DataFrame:
-    return posted.select("term", "doc_id", "tf").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-
-
 def lexical(index: Index, queries: DataFrame) -> DataFrame:
     """Hits of queries. The words of few queries are filtered in the scans of the postings; those of many are stored with their df, so their size is known."""
     terms = query_terms(queries)
