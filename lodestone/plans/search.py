@@ -133,13 +133,13 @@ def search(
     semantic = vectors.cosines(index.embeddings, vector) if index.embeddings is not None and vector is not None else None
     hits = candidates(asked)
     if semantic is not None:
-        asked_more = expand_queries(asked, bm25_ranked(hits, POOL), semantic, index.documents, POOL)
-        hits = candidates(asked_more)
+        asked_more = stored(expand_queries(asked, bm25_ranked(hits, POOL), semantic, index.documents, POOL))
+        hits = stored(candidates(asked_more))  # ranked and then looked up
     if use_dual and index.dual is not None and vector is not None:
         hits = vectors.dual_boosted(hits, vectors.dual_hybrid(index.dual, vector, 2 * k))
     top = bm25_ranked(hits, FUSED)
     if semantic is not None:
-        top = ranked(vectors.rrf(top, semantic), max(RERANKED, k), by=F.col("score"))
+        top = stored(ranked(vectors.rrf(stored(top), semantic), max(RERANKED, k), by=F.col("score")))  # few, so texts need no shuffle
         top = reranked(index, asked, top, hits, semantic, model)
     else:
         top = top.where(F.col("rank") <= max(RERANKED, k))
@@ -176,14 +176,15 @@ def explain(index: Index, query: str, k: int = 10, *, vector: list[float] | None
     session = index.documents.sparkSession
     vector = vector if vector is not None else index.embed(query) if index.embed else None
     asked = session.range(1).select(F.lit(0).alias("qid"), F.lit(query).alias("query"))
-    out = search(index, query, k, vector=vector).withColumnRenamed("score", "final_score")
+    out = stored(search(index, query, k, vector=vector).withColumnRenamed("score", "final_score"))
+    found = out.select("doc_id")
     parts = [("bm25", lexical(index, asked))]
     if index.embeddings is not None and vector is not None:
         parts.append(("semantic", vectors.cosines(index.embeddings, vector)))
     if index.nodes is not None and index.edges is not None:
         parts.append(("graph", graph_score(query_terms(asked), index.nodes, index.edges)))
     for name, scores in parts:
-        out = out.join(scores.select("doc_id", F.col("score").alias(name)), "doc_id", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+        out = out.join(scores.join(found, "doc_id", "left_semi").select("doc_id", F.col("score").alias(name)), "doc_id", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
     return out
 
 
