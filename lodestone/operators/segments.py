@@ -14,6 +14,7 @@ once no older segment is left.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,11 +39,13 @@ class SegmentedIndex:
     # ---- reading
 
     def _union(self, kind: str, segments: list[dict]) -> DataFrame:
-        out = self.spark.createDataFrame([], KINDS[kind] + ", seq long")
-        for s in segments:
-            if kind in s["has"]:
-                out = out.unionByName(self.spark.read.schema(KINDS[kind]).parquet(f"{self.root}/{s['folder']}/{s.get('tombstones') if kind == 'tombstones' else kind}").withColumn("seq", F.lit(s["seq"]).cast("long")))
-        return out
+        parts = [
+            self.spark.read.schema(KINDS[kind]).parquet(f"{self.root}/{s['folder']}/{s.get('tombstones') if kind == 'tombstones' else kind}").withColumn("seq", F.lit(s["seq"]).cast("long"))
+            for s in segments
+            if kind in s["has"]
+        ]
+        # files alone, whose size is known: with a frame of unknown size, few tombstones would have all postings shuffled
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], KINDS[kind] + ", seq long")
 
     def _live(self, kind: str, segments: list[dict] | None = None) -> DataFrame:
         """Rows of some segments (all by default) that no later one of them has a tombstone for."""
@@ -79,10 +82,11 @@ class SegmentedIndex:
 
     # ---- writing
 
-    def _write(self, folder: str, tables: dict[str, DataFrame]) -> None:
+    def _write(self, folder: str, tables: dict[str, DataFrame], *, merged: bool = False) -> None:
+        """Postings come in runs in order of term, but for merged ones."""
         for kind, df in tables.items():
             if kind in ("postings", "titles"):
-                df = df.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+                df = ix.in_runs(df) if merged else df
             df.write.parquet(f"{self.root}/{folder}/{kind}")
 
     def add(self, docs: DataFrame, *, batch_id: str = "") -> bool:
@@ -93,11 +97,14 @@ class SegmentedIndex:
         if batch_id and batch_id in (self.log.state() or {"batches": []})["batches"]:
             return False
         folder = f"segments/{uuid.uuid4().hex}"
-        once = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
+        once = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+        if not ix.unique_ids(once):
+            once = once.groupBy("doc_id").agg(F.max("text").alias("text"))
         fresh = stored(once, f"{self.root}/{folder}/documents")
-        tokens = stored(ix.with_tokens(fresh))
-        lengths = ix.doc_lengths(tokens)
-        self._write(folder, {"postings": ix.postings(tokens, unique=True), "titles": ix.postings(ix.title_tokens(fresh), unique=True), "lengths": lengths})
+        self._write(folder, {"postings": ix.runs_of(ix.with_tokens(fresh)), "titles": ix.runs_of(ix.title_tokens(fresh))})
+        # words are counted already, and a document's are all in one task
+        posted = self.spark.read.schema(KINDS["postings"]).parquet(f"{self.root}/{folder}/postings")
+        self._write(folder, {"lengths": posted.groupBy("doc_id").agg(F.sum("tf").alias("dl"))})
         sums = self.spark.read.parquet(f"{self.root}/{folder}/lengths").agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
         entry = {"folder": folder, "level": 0, "has": ["postings", "titles", "lengths", "documents"], "docs": sums[0], "tokens": sums[1]}
         return self._commit(entry, fresh.select("doc_id"), batch_id)
@@ -159,7 +166,7 @@ class SegmentedIndex:
                 return merges
             folder = f"segments/{uuid.uuid4().hex}"
             first = chosen[0]["seq"] == min(s["seq"] for s in self.state["segments"])
-            self._write(folder, {k: self._live(k, chosen) for k in ("postings", "titles", "lengths", "documents")})
+            self._write(folder, {k: self._live(k, chosen) for k in ("postings", "titles", "lengths", "documents")}, merged=True)
             has = ["postings", "titles", "lengths", "documents"]
             made = {"folder": folder, "level": chosen[0]["level"] + 1, "seq": chosen[-1]["seq"], **{k: sum(s[k] for s in chosen) for k in ("docs", "tokens", "dead_docs", "dead_tokens")}}
             if not first and any("tombstones" in s["has"] for s in chosen):
