@@ -128,3 +128,22 @@ def test_copies_of_a_class_count_once_for_a_token(spark):
     four = [(t, c, c, 100) for t in (6, 7, 8, 9) for c in (3, 4)]
     made = spark.createDataFrame((one + four) * 10, "token long, class long, group long, size long").repartition(5)
     assert sorted(map(tuple, opened(made, 85).collect())) == [(3, 4, 100), (4, 3, 100)]
+
+
+def test_slots_grow_with_the_corpus(spark):
+    """A token in 40 classes is frequent however large the corpus is: with slots of a fixed number it was rare from 2^27 tokens or so on."""
+    import numpy as np
+
+    from lodestone.llm import jaccard_join as jj
+
+    assert [jj.slot_bits(n) for n in (0, 1 << 29, 1 << 30, 1 << 31, 1 << 40)] == [24, 25, 26, 27, 27]
+    common = " ".join(f"c{k}" for k in range(8))
+    docs = spark.createDataFrame([(k, f"{common} " + " ".join(f"r{k}x{j}" for j in range(30))) for k in range(40)], "doc_id long, text string").repartition(3)
+    rows = jj.keyed(docs)
+    shared = jj.shingle_set(common, 4)
+    for bits in (24, 26):
+        packed = jj.frequent_slots(jj.sets_of(rows, 4, bits), bits)
+        slots = np.flatnonzero(np.unpackbits(packed))
+        assert len(packed) == 1 << bits - 3 and sorted(slots) == sorted(np.unique(jj.slot_of(shared, bits)))
+        prefixes = jj.prefix_rows(rows, packed, 4, 85)
+        assert prefixes.count() and not {r.token for r in prefixes.select("token").distinct().collect()} & set(shared.view(np.int64).tolist())
